@@ -98,6 +98,20 @@ def words(data: np.ndarray, rows: np.ndarray, word_bytes: np.ndarray = NON_SPACE
     return Words(data, rows, start, end, np.searchsorted(start, rows))
 
 
+def runs(data: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> Words:
+    """Maximal runs of bytes of one kind (a table of 256 small numbers; 0 is no word at all)."""
+    n = len(data)
+    k = kind[data]
+    new = np.ones(n + 1, bool)
+    new[1:n] = k[1:] != k[:-1]
+    new[rows] = True
+    start = np.flatnonzero(new[:-1])
+    end = np.append(start[1:], n)[: len(start)]
+    keep = k[start] > 0
+    start, end = start[keep], end[keep]
+    return Words(data, rows, start, end, np.searchsorted(start, rows))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         n = max(n, _SEGMENT + 1)

@@ -6,19 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.bpe import encode_decode
 from marlstone.llm.near_dedup import near_duplicates
+from marlstone.llm.quality import classify
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The public byte-level BPE file; every operator takes its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(spark, _table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
+    "op3_bpe": op3_bpe,
 }
 
 ORACLE: dict[str, str] = {}
