@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.bpe import encode_decode
+from marlstone.llm.fingerprint import compare_with_edits
 from marlstone.llm.near_dedup import near_duplicates
 from marlstone.llm.quality import classify
 
@@ -34,10 +35,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
+    "op6_fingerprints": op6_fingerprints,
 }
 
 ORACLE: dict[str, str] = {}
