@@ -3,10 +3,11 @@
 Every document is a set of five-word shingles. Documents with equal sets form a class; the smallest id
 stands for it. Representatives descend TREES independent trees: at a node the document's minwise token
 under the node's permutation chooses the child, so similar sets keep meeting. A node's members are first
-linked to two pivots (a star, verified on full sets); only where the links found so far leave a node in
-several components are its members compared exhaustively, across components, and nodes too large for
-that branch again. Packed two-bit minwise sketches reject pairs that cannot reach the threshold; every
-link is confirmed on full sets.
+linked to two pivots (a star, verified on full sets). Only where the links found so far leave a node in
+several components are its members compared with each other by packed two-bit minwise sketches, and nodes too
+large for that branch again. Members that have a look-alike in another component go on: their pairs across
+components that share one of their rarest shingles (which every link does) are confirmed on full sets,
+as every link is. So a group of copies never becomes all its pairs.
 
 Recall: two sets of similarity J share one tree's root child with probability J, and each further level
 keeps them with 1 - (1 - J)**BRANCH. At J = 0.85 the loss of all twelve trees is 1.3e-10 at the first level
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.llm import _text as T
 from marlstone.llm._work import Work
@@ -35,7 +37,7 @@ TREES = 12
 TOKENS = 32  # minwise tokens that choose paths: the first TREES at the roots, the others below
 PERMUTATIONS = 128
 BRANCH = 2
-SMALL_NODE = 1000
+SMALL_NODE = 4096
 DEPTH = 6
 _SKETCH = [f"s{i}" for i in range(4)]
 
@@ -115,6 +117,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((F.col("i") * 100).cast("long") >= (F.col("n") - F.col("i")).cast("long") * percent).select("a", "b")
 
 
+def _across(members: DataFrame, sets: DataFrame, work: Work, percent: int) -> DataFrame:
+    """All pairs (a, b) of members in different components that sketches and rare shingles allow.
+
+    Two sets of the wanted similarity share one of the n - ceil(n * percent / 100) + 1 shingles of each that are
+    rarest among the members, so no such pair is lost. Under a shingle only members outside its
+    commonest component look for partners: those inside it are connected already.
+    """
+    token = members.select("doc_id", "n").join(sets, "doc_id").select("doc_id", "n", F.explode("shingles").alias("token"))
+    often = work.save(token.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("f", F.lit(1)), "token")
+    rare = token.join(often, "token", "left").withColumn("k", F.row_number().over(order)).where(f"f > 1 and k <= n - (n * {percent} + 99) div 100 + 1")
+    rare = work.save(rare.select("token", "doc_id").join(members, "doc_id"))
+    share = rare.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+    main = work.save(share.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main"))
+    x, y = rare.join(main, "token").where("component <> main").alias("x"), rare.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
+    return x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
@@ -153,13 +174,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
 
     level = work.save(with_component(live.select("node", "doc_id", "n", *_SKETCH)))
     work.drop(live)
-    across = []
+    touching = []
     for depth in range(DEPTH + 1):
         mixed = work.save(level.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("node", "m"))
         small = level.join(mixed.where(F.lit(depth == DEPTH) | (F.col("m") <= SMALL_NODE)).select("node"), "node", "left_semi")
         x, y = small.alias("x"), small.alias("y")
-        on = (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
-        across.append(work.save(x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()))
+        on = (F.col("x.node") == F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
+        touching.append(work.save(x.join(y, on, "left_semi").select("doc_id", "n", *_SKETCH, "component").distinct()))
         large = mixed.where(f"m > {SMALL_NODE}").select("node")
         if depth == DEPTH or large.isEmpty():
             break
@@ -169,12 +190,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
         deeper = work.save(down.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "doc_id", "n", *_SKETCH, "component"))
         work.drop(level, mixed)
         level = deeper
-    rest = across[0]
-    for more in across[1:]:
-        rest = rest.union(more)
-    rest = work.save(rest.distinct().join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = work.save(links.union(_verify(rest, sets_of(rest), percent)))
+    open_docs = touching[0]
+    for more in touching[1:]:
+        open_docs = open_docs.union(more)
+    open_docs = work.save(open_docs.distinct())
+    if not open_docs.isEmpty():
+        missing = work.save(open_docs.select("doc_id").join(sets.select("doc_id"), "doc_id", "left_anti"))
+        sets = sets.unionByName(work.save(docs.join(missing, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles array<long>")))
+        rest = work.save(_across(open_docs, sets, work, percent).join(star, ["a", "b"], "left_anti"))
+        links = work.save(links.union(_verify(rest, sets, percent)))
         found = components(links, work)
 
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))

@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = known.where(F.col("y").isin(0, 1) & ~held_out("doc_id"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "y").limit(TRAIN_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    model = rows.coalesce(1).mapInArrow(_train, "w binary, b double").collect()
+    model = rows.repartition(1).mapInArrow(_train, "w binary, b double").collect()
     if not model:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(model[0]["w"], np.float32), model[0]["b"]
