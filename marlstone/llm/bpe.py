@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the tokenizer format: its pre-token pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 300_000  # pieces whose tokens a worker remembers
+CACHE = 1_000_000  # pieces whose tokens a worker remembers
 PIECES = 1 << 16  # pieces of a text that are in hand at once
 _MODELS: dict[str, BPE] = {}
 
@@ -79,11 +79,7 @@ class BPE(dict):
             reach[a] = max(reach.get(a, 0), len(left) + max(reach.get(b, 0), len(right)))
             self.lookahead = max(self.lookahead, reach[a])
         self.longest = max(map(len, self.by_bytes))
-        #: By the last three bytes: the sizes that tokens with this end have, largest first.
-        sizes: dict[bytes, set[int]] = {}
-        for b in self.by_bytes:
-            sizes.setdefault(b[-3:], set()).add(len(b))
-        self.sizes = {b: tuple(sorted(x | sizes.get(b[-2:], set()) | sizes.get(b[-1:], set()), reverse=True)) for b, x in sizes.items()}
+        self._automaton()
         self.lookahead += self.longest
         self.pattern = regex.compile(PATTERN)
         self._beside: dict[int, bool] = {}
@@ -110,16 +106,60 @@ class BPE(dict):
             else:
                 limit, b = rank[b] + 1, parts[b][0]
 
-    def _extend(self, held: bytes, last: list[int]) -> None:
-        """Append the last token of each prefix of held that last does not have yet."""
-        known, seen, beside, sizes, short = self.by_bytes.get, self._beside.get, self.beside, self.sizes, self.sizes.get
-        for i in range(len(last), len(held) + 1):
-            for size in short(held[i - 3 if i > 3 else 0 : i]) or short(held[i - 2 if i > 2 else 0 : i]) or sizes[held[i - 1 : i]]:
-                if size <= i and (t := known(held[i - size : i])) is not None:
-                    p = last[i - size]
-                    if p < 0 or (ok := seen(p << 20 | t)) or (ok is None and beside(p, t)):
-                        last.append(t)
-                        break
+    def _automaton(self) -> None:
+        """Suffix automaton of the tokens: step, the longest token that ends in a state, and each token's next shorter suffix."""
+        self.step: dict[int, int] = {}  # state << 8 | byte
+        self.fail, own, bytes_in = [0], [-1], [0]
+        for b, t in self.by_bytes.items():
+            state = 0
+            for x in b:
+                state = self.step.setdefault(state << 8 | x, len(self.fail))
+                if state == len(self.fail):
+                    self.fail.append(0)
+                    own.append(-1)
+                    bytes_in.append(0)
+            own[state] = t
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, state in self.step.items():
+            children.setdefault(key >> 8, []).append((key & 255, state))
+        self.ends, self.shorter = [-1] * len(self.fail), [-1] * len(self.width)
+        queue = [0]
+        for state in queue:
+            for x, child in children.get(state, ()):
+                f = self.fail[state]
+                while state and f and (f << 8 | x) not in self.step:
+                    f = self.fail[f]
+                self.fail[child] = self.step.get(f << 8 | x, 0) if state else 0
+                below = self.ends[self.fail[child]]
+                self.ends[child] = own[child] if own[child] >= 0 else below
+                if own[child] >= 0:
+                    self.shorter[own[child]] = below
+                queue.append(child)
+        self.tree = len(self.step)
+
+    def _leap(self, state: int, x: int) -> int:
+        """A step that falls back; remembered as long as there is room."""
+        at = state
+        while at and (at << 8 | x) not in self.step:
+            at = self.fail[at]
+        out = self.step.get(at << 8 | x, 0)
+        if len(self.step) < self.tree + 500_000:
+            self.step[state << 8 | x] = out
+        return out
+
+    def _extend(self, held: bytes, last: list[int], state: int = 0) -> int:
+        """Append the last token of each prefix of held that last does not have yet; state is the automaton's after last."""
+        step, ends, width, seen, shorter, add = self.step.get, self.ends, self.width, self._beside.get, self.shorter, last.append
+        i = len(last)
+        for x in held[i - 1 :]:
+            n = step(state << 8 | x)
+            state = self._leap(state, x) if n is None else n
+            t = ends[state]
+            while (p := last[i - width[t]]) >= 0 and not ((ok := seen(p << 20 | t)) or (ok is None and self.beside(p, t))):
+                t = shorter[t]
+            add(t)
+            i += 1
+        return state
 
     def _back(self, last: list[int], at: int) -> list[int]:
         """The tokens of the prefix that ends at a position."""
@@ -131,11 +171,11 @@ class BPE(dict):
 
     def tokens(self, stream: Iterable[bytes]) -> Iterator[int]:
         """The ids of one piece whose bytes come in parts, each as soon as it is stable."""
-        held, last = b"", [-1]  # last[i]: last token of the prefix that ends i bytes into held; -1 where emitted tokens end
+        held, last, state = b"", [-1], 0  # last[i]: last token of the prefix that ends i bytes into held; -1 where emitted tokens end
         for part in stream:
             for k in range(0, len(part), 4096):
                 held += part[k : k + 4096]
-                self._extend(held, last)
+                state = self._extend(held, last, state)
                 if len(held) > self.lookahead + self.longest:
                     out = self._back(last, self._stable(last))
                     yield from out
