@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from marlstone.llm.bpe import encode_decode
 from marlstone.llm.chat import conversations, from_turns, read_back
+from marlstone.llm.decontaminate import matches
 from marlstone.llm.fingerprint import compare_with_edits
 from marlstone.llm.licenses import license_labels
+from marlstone.llm.linededup import line_dedup
 from marlstone.llm.near_dedup import near_duplicates
 from marlstone.llm.quality import classify
 
@@ -37,6 +40,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(spark, _table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(spark, _table(spark, sf_dir, "documents"))
 
@@ -52,13 +59,20 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
+    "op4_decontamination": op4_decontamination,
     "op6_fingerprints": op6_fingerprints,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
+    "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
