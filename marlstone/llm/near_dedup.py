@@ -121,18 +121,23 @@ def _across(members: DataFrame, sets: DataFrame, work: Work, percent: int) -> Da
     """All pairs (a, b) of members in different components that sketches and rare shingles allow.
 
     Two sets of the wanted similarity share one of the n - ceil(n * percent / 100) + 1 shingles of each that are
-    rarest among the members, so no such pair is lost. Under a shingle only members outside its
+    rarest among the members, and a set's shingles that no other member has bound what any two can share, so no
+    such pair is lost. Under a shingle only members outside its
     commonest component look for partners: those inside it are connected already.
     """
     token = members.select("doc_id", "n").join(sets, "doc_id").select("doc_id", "n", F.explode("shingles").alias("token"))
     often = work.save(token.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("f", F.lit(1)), "token")
-    rare = token.join(often, "token", "left").withColumn("k", F.row_number().over(order)).where(f"f > 1 and k <= n - (n * {percent} + 99) div 100 + 1")
-    rare = work.save(rare.select("token", "doc_id").join(members, "doc_id"))
+    shared = F.count("f").over(Window.partitionBy("doc_id"))
+    rare = token.join(often, "token", "left").withColumn("k", F.row_number().over(order)).withColumn("shared", shared)
+    rare = rare.where(f"f > 1 and k <= n - (n * {percent} + 99) div 100 + 1")
+    rare = work.save(rare.select("token", "doc_id", "shared").join(members, "doc_id"))
     share = rare.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
     main = work.save(share.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main"))
     x, y = rare.join(main, "token").where("component <> main").alias("x"), rare.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
+    most = F.least("x.shared", "y.shared")
+    enough = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & enough & _alike("x", "y", percent)
     return x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
