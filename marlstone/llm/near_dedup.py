@@ -131,13 +131,17 @@ def _across(members: DataFrame, sets: DataFrame, work: Work, percent: int) -> Da
     shared = F.count("f").over(Window.partitionBy("doc_id"))
     rare = token.join(often, "token", "left").withColumn("k", F.row_number().over(order)).withColumn("shared", shared)
     rare = rare.where(f"f > 1 and k <= n - (n * {percent} + 99) div 100 + 1")
-    rare = work.save(rare.select("token", "doc_id", "shared").join(members, "doc_id"))
+    rare = work.save(rare.select("token", "doc_id", "shared", "f", "k"))
+    prefix = rare.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda t: t["token"]).alias("prefix"))
+    rare = work.save(rare.drop("f").join(prefix, "doc_id").join(members, "doc_id"))
     share = rare.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
     main = work.save(share.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main"))
     x, y = rare.join(main, "token").where("component <> main").alias("x"), rare.alias("y")
-    most = F.least("x.shared", "y.shared")
+    # at the first shingle that two sets share, no more than the rest of either can follow; each pair is made there only
+    most = F.least("x.shared", "y.shared", 1 + F.col("x.n") - F.col("x.k"), 1 + F.col("y.n") - F.col("y.k"))
     enough = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & enough & _alike("x", "y", percent)
+    first = F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.token")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & enough & _alike("x", "y", percent) & first
     return x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
