@@ -22,3 +22,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+from marlstone.plans import text as text  # noqa: E402
