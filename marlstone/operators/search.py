@@ -33,10 +33,10 @@ def bm25(docs: DataFrame, key: str, weights: dict[str, float], queries: DataFram
     wanted = queries.select("query_id", F.explode("terms").alias("term")).distinct()
     parts = [F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)")), _weighted(w)) for c, w in weights.items()]
     tokens = docs.select(key, F.concat(*parts).alias("ts")).select(key, F.size("ts").alias("length"), "ts")
-    stats = tokens.agg(F.count(F.lit(1)).alias("N"), F.avg("length").alias("mean"))
+    stats = tokens.agg(F.count(F.lit(1)).alias("corpus"), F.avg("length").alias("mean"))
     tf = tokens.select(key, "length", F.explode("ts").alias("t")).select(key, "length", "t.*").join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.log((F.col("corpus") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, FLOOR).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - NORM + NORM * F.col("length") / F.col("mean")))
     scored = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", key).agg(F.sum(part).alias("score"))

@@ -24,4 +24,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+from marlstone.plans import matching as matching  # noqa: E402
 from marlstone.plans import text as text  # noqa: E402
