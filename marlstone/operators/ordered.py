@@ -1,0 +1,159 @@
+"""Operators whose results depend on order: first-wins, leader dedupe, packing, budgets, folds."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, with how many it stands for. Ranked in a window whose limit Spark applies before the shuffle."""
+    w = Window.partitionBy(*key)
+    return rows.withColumn("_k", F.row_number().over(w.orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def leaders(rows: DataFrame, group: list[str], line: str, distance: int, order: str) -> DataFrame:
+    """Rows kept by a greedy rule: one goes if a kept row before it in its group is within a distance.
+
+    (group, line) of the kept rows. Repeats of a (group, line) are dropped before they meet, so a hot group holds at most
+    its different lines; in line order the last kept one alone decides, which a fold in O(n) follows.
+    In any other order all kept ones are looked at.
+    """
+    g = rows.groupBy(*group, line).agg(F.min(order).alias("o")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("o", F.col(line).cast("long").alias("l")))).alias("x"))
+    none = F.array().cast("array<bigint>")
+    if order == line:
+        keep = lambda acc, r: F.when((F.size(acc) > 0) & (r["l"] - F.element_at(acc, -1) <= distance), acc).otherwise(F.concat(acc, F.array(r["l"])))
+    else:
+        keep = lambda acc, r: F.when(F.exists(acc, lambda u: F.abs(u - r["l"]) <= distance), acc).otherwise(F.concat(acc, F.array(r["l"])))
+    return g.select(*group, F.explode(F.aggregate("x", none, keep)).alias(line))
+
+
+def repeated_actions(rows: DataFrame, run: str, action: list[str], order: str) -> DataFrame:
+    """Marks actions that their run has done before, and how many repeats stand in a row up to here."""
+    before = F.row_number().over(Window.partitionBy(run, *action).orderBy(order)) > 1
+    x = rows.withColumn("repeat", before)
+    fresh = F.sum(F.when(F.col("repeat"), 0).otherwise(1)).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_island", fresh)
+    in_row = F.sum(F.col("repeat").cast("long")).over(Window.partitionBy(run, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("in_row", in_row).drop("_island")
+
+
+def compact(turns: DataFrame, run: str, order: str, text: str, keep: int, terse: int) -> DataFrame:
+    """The last `keep` turns whole, older ones cut to `terse` characters."""
+    back = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(order)))
+    return turns.withColumn("back", back).withColumn("shown", F.when(F.col("back") <= keep, F.col(text)).otherwise(F.substring(text, 1, terse)))
+
+
+def fit(turns: DataFrame, run: str, order: str, text: str, keep: int, terse: int, limit: int) -> DataFrame:
+    """(run, keep, terse, size): the first option that fits a limit of characters; runs that none fits are absent.
+
+    Options: full older turns from `keep` down to 1 kept, then cut ones. Each turn is explained once for
+    each option and summed before the shuffle.
+    """
+    back = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(order)))
+    options = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("keep"), F.lit(c).alias("cut")) for i, (c, k) in enumerate([(c, k) for c in (2 * terse, terse) for k in range(keep, 0, -1)])))
+    x = turns.select(run, F.length(text).alias("n"), back.alias("back")).withColumn("o", F.explode(options))
+    size = F.sum(F.when(F.col("back") <= F.col("o.keep"), F.col("n")).otherwise(F.least("n", "o.cut"))).alias("size")
+    best = x.groupBy(run, "o").agg(size).where(F.col("size") <= limit).groupBy(run).agg(F.min(F.struct("o.i", "o.keep", "o.cut", "size")).alias("b"))
+    return best.select(run, F.col("b.keep").alias("keep"), F.col("b.cut").alias("cut"), F.col("b.size").alias("size"))
+
+
+def pack(pieces: Column, limit: int, joiner: str = "\n") -> Column:
+    """Pieces packed greedily in order into texts of at most `limit` characters with their joiners; a longer piece stands alone."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = F.length(acc["open"]) + len(joiner) + F.length(p) <= limit
+        return (
+            F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), p.alias("open")))
+            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(joiner), p).alias("open")))
+            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open")))
+        )
+
+    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def split_text(text: str, limit: int) -> list[str]:
+    """A text in packed parts of at most `limit` characters, cut at paragraphs, else lines, sentences, words, else anywhere."""
+    import re
+
+    def cut(t: str, level: int) -> Iterator[str]:
+        if len(t) <= limit:
+            yield t
+        elif level == len(seps):
+            yield from (t[i : i + limit] for i in range(0, len(t), limit))
+        else:
+            for p in re.split(seps[level], t):
+                if p.strip():
+                    yield from cut(p, level + 1)
+
+    seps = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+", r"\s+")
+    out: list[str] = []
+    for p in cut(text, 0):
+        p = p.strip()
+        if out and len(out[-1]) + 2 + len(p) <= limit:
+            out[-1] += "\n\n" + p
+        elif p:
+            out.append(p)
+    return out
+
+
+def chunks(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """(key, k, chunk, sha256): recursive packing of whole texts, Arrow batches of texts at a time."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: split_text(t or "", limit))
+
+    return docs.select(key, F.posexplode(cut(text)).alias("k", "chunk")).withColumn("sha256", F.sha2("chunk", 256))
+
+
+def quota(rows: DataFrame, order: str, a: str, b: str, most_a: int, most_b: int, split: str) -> DataFrame:
+    """Rows taken in order while neither of two keys is over its cap, by split.
+
+    Whether a row is taken depends on those before it, so a split is folded in one task. At most most_a
+    rows of an (a, b) pair can matter, and no more than that many of them are read; that bounds the fold by the keys, not the rows.
+    """
+    w = Window.partitionBy(split, a, b).orderBy(order)
+    x = rows.select(split, a, b, order).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= min(most_a, most_b)).drop("_k")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        n_a: dict = {}
+        n_b: dict = {}
+        keep = []
+        for x, y in zip(pdf[a], pdf[b], strict=True):
+            ok = n_a.get(x, 0) < most_a and n_b.get(y, 0) < most_b
+            keep.append(ok)
+            if ok:
+                n_a[x], n_b[y] = n_a.get(x, 0) + 1, n_b.get(y, 0) + 1
+        return pdf[keep]
+
+    return x.groupBy(split).applyInPandas(lambda p: fold(p.sort_values(order)), x.schema)
+
+
+def patches(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """The state that patches leave: a null field keeps what was there, the last other value stands."""
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields]
+    return rows.groupBy(key).agg(*last)
+
+
+def within_budget(rows: DataFrame, run: str, order: str, cost: str, calls: int, total: float) -> DataFrame:
+    """Rows up to the one that reaches the calls' or the cost's limit, and whether a row is the last that may be."""
+    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumn("call", F.count(F.lit(1)).over(w)).withColumn("spent", F.sum(cost).over(w))
+    before = F.col("spent") - F.col(cost)
+    return x.where((F.col("call") <= calls) & (before < total)).withColumn("must_end", (F.col("call") == calls) | (F.col("spent") >= total))
+
+
+def event_ids(rows: DataFrame, run: str, order: str) -> DataFrame:
+    return rows.withColumn("event_no", F.format_string("E%04d", F.row_number().over(Window.partitionBy(run).orderBy(order))))
+
+
+def calibrated(rows: DataFrame, run: str, order: str, chars: str, tokens: str) -> DataFrame:
+    """Characters a token, from the latest call with more than 200 tokens up to each row."""
+    known = F.when(F.col(tokens) > 200, 0.9 * F.col(chars) / F.col(tokens))
+    return rows.withColumn("per_token", F.last(known, ignorenulls=True).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

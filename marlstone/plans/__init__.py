@@ -25,4 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from marlstone.plans import matching as matching  # noqa: E402
+from marlstone.plans import ordered as ordered  # noqa: E402
+from marlstone.plans import reports as reports  # noqa: E402
 from marlstone.plans import text as text  # noqa: E402
