@@ -32,7 +32,13 @@ class CountTree:
 
     def __init__(self, model: BPE, text: str):
         self.model, self.text, self.encoded = model, text, 0
-        pieces = [(b - a, self._count(a, b)) for a, b in self._pieces(text, 0)]
+        pieces: list[tuple[int, int]] = []
+        for part in model.splitter.split(text) if model.splitter else [text]:
+            if part in model.special:
+                pieces.append((len(part), 1))
+            else:
+                found = model.pattern.findall(part)
+                pieces += zip(map(len, found), map(len, map(model.__getitem__, found)), strict=True)
         self._build(pieces)
 
     def _count(self, a: int, b: int) -> int:
