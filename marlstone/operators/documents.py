@@ -19,7 +19,7 @@ def _grouped(rows: DataFrame, key: str) -> DataFrame:
     x = rows.withColumn("section", part).groupBy(key, "section").agg(
         F.coalesce(F.max("title"), F.lit("Introduction")).alias("title"), F.array_sort(F.collect_list(F.when(F.col("title").isNull() & ~F.col("drop"), F.struct("n", "line")))).alias("x")
     )
-    body = F.trim(F.array_join(F.transform("x", lambda r: r["line"]), "\n"))
+    body = F.trim(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit(" \t\r\n"))
     return x.select(key, "section", "title", body.alias("body")).where("body <> ''")
 
 

@@ -92,7 +92,7 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     "markdown_sections",
     rf"""WITH {SQL_LINES}, x AS (SELECT doc_id, n, CASE WHEN n % 4 = 1 THEN '# part ' || n ELSE line END AS line FROM lines),
     y AS (SELECT *, sum((n % 4 = 1)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM x)
-    SELECT doc_id, section::BIGINT AS section, 'part ' || min(n) AS title, trim(string_agg(line, chr(10) ORDER BY n) FILTER (n % 4 <> 1)) AS body FROM y GROUP BY doc_id, section HAVING trim(string_agg(line, chr(10) ORDER BY n) FILTER (n % 4 <> 1)) <> ''""",
+    SELECT doc_id, section::BIGINT AS section, 'part ' || min(n) AS title, trim(string_agg(line, chr(10) ORDER BY n) FILTER (n % 4 <> 1), ' ' || chr(9) || chr(13) || chr(10)) AS body FROM y GROUP BY doc_id, section HAVING trim(string_agg(line, chr(10) ORDER BY n) FILTER (n % 4 <> 1), ' ' || chr(9) || chr(13) || chr(10)) <> ''""",
 )
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a heading in place of every fourth line."""

@@ -69,10 +69,10 @@ def missed_cases(spark: SparkSession, d: str) -> DataFrame:
     _METRICS
     + """SELECT family, tp, fn, fp_safe, fp_unmatched, safe_cases, precision, recall,
   CASE WHEN precision IS NOT NULL AND recall IS NOT NULL THEN CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END END AS f1,
-  greatest(0.0, (precision + 3.8416 / (2 * np)) / (1 + 3.8416 / np) - 1.96 * sqrt(precision * (1 - precision) / np + 3.8416 / (4.0 * np * np)) / (1 + 3.8416 / np)) AS precision_low,
-  least(1.0, (precision + 3.8416 / (2 * np)) / (1 + 3.8416 / np) + 1.96 * sqrt(precision * (1 - precision) / np + 3.8416 / (4.0 * np * np)) / (1 + 3.8416 / np)) AS precision_high,
-  greatest(0.0, (recall + 3.8416 / (2 * nr)) / (1 + 3.8416 / nr) - 1.96 * sqrt(recall * (1 - recall) / nr + 3.8416 / (4.0 * nr * nr)) / (1 + 3.8416 / nr)) AS recall_low,
-  least(1.0, (recall + 3.8416 / (2 * nr)) / (1 + 3.8416 / nr) + 1.96 * sqrt(recall * (1 - recall) / nr + 3.8416 / (4.0 * nr * nr)) / (1 + 3.8416 / nr)) AS recall_high,
+  CASE WHEN np > 0 THEN greatest(0.0, (precision + 3.8416 / (2 * np)) / (1 + 3.8416 / np) - 1.96 * sqrt(precision * (1 - precision) / np + 3.8416 / (4.0 * np * np)) / (1 + 3.8416 / np)) END AS precision_low,
+  CASE WHEN np > 0 THEN least(1.0, (precision + 3.8416 / (2 * np)) / (1 + 3.8416 / np) + 1.96 * sqrt(precision * (1 - precision) / np + 3.8416 / (4.0 * np * np)) / (1 + 3.8416 / np)) END AS precision_high,
+  CASE WHEN nr > 0 THEN greatest(0.0, (recall + 3.8416 / (2 * nr)) / (1 + 3.8416 / nr) - 1.96 * sqrt(recall * (1 - recall) / nr + 3.8416 / (4.0 * nr * nr)) / (1 + 3.8416 / nr)) END AS recall_low,
+  CASE WHEN nr > 0 THEN least(1.0, (recall + 3.8416 / (2 * nr)) / (1 + 3.8416 / nr) + 1.96 * sqrt(recall * (1 - recall) / nr + 3.8416 / (4.0 * nr * nr)) / (1 + 3.8416 / nr)) END AS recall_high,
   CASE WHEN safe_cases > 0 THEN fp_safe::DOUBLE / safe_cases END AS lookalike_rate FROM rates""",
 )
 def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
