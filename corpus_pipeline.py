@@ -20,15 +20,25 @@ from marlstone.llm.near_dedup import near_duplicates
 NEAR_PERCENT = 80
 
 
+def _free(docs: DataFrame, n: int) -> list[str]:
+    """Column names that docs does not have."""
+    prefix = "_x"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return [f"{prefix}{i}" for i in range(n)]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it learns from the labels outside the held-out fold."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(spark, docs, model).where(F.col("score") >= quality.ACCEPT).drop("score")
+    (name,) = _free(docs, 1)
+    return quality.score(spark, docs, model, name).where(F.col(name) >= quality.ACCEPT).drop(name)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of lines that an earlier document has go from the texts; n_chars follows."""
-    out = rewrite(spark, docs).drop("_lines", "_gone_lines", "_gone_words")
+    out = rewrite(spark, docs)
+    out = out.toDF(*docs.columns, *(x := _free(docs, 3))).drop(*x)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))
@@ -38,8 +48,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     found = near_duplicates(spark, docs, NEAR_PERCENT)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name := _free(docs, 1)[0]))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,14 +185,16 @@ class BPE(dict):
 
     def _stable(self, last: list[int]) -> int:
         """The last position that the back pointers of all the newest positions, and so of all later ones, go through."""
-        common: set[int] | None = None
-        for at in range(len(last) - 1, max(0, len(last) - 1 - self.longest), -1):
-            through = set()
-            while at > 0:
-                through.add(at)
+        at = limit = len(last) - 1
+        chain = set()
+        while at > 0:
+            chain.add(at)
+            at -= self.width[last[at]]
+        for at in range(limit - 1, max(0, limit - self.longest), -1):
+            while at > 0 and at not in chain:
                 at -= self.width[last[at]]
-            common = through if common is None else common & through
-        return max(common or {0})
+            limit = min(limit, at)
+        return limit
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         held, last = piece.encode(), [-1]

@@ -131,9 +131,14 @@ def _rewriter(names: list[str]):
 
 
 def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any others) with repeated chunks taken out, and _lines, _gone_lines and _gone_words."""
+    """docs (doc_id, text and any others) without the repeated chunks, then three more columns: lines, lines and words taken out.
+
+    Inside, the columns have names of their own, so docs may have any; the last three are to be renamed or dropped by position.
+    """
     work = Work(spark, "lines")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_key", F.xxhash64("doc_id", "text"))
+    names = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names)
+    keyed = plain.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_key", F.xxhash64("doc_id", "text"))
     text = keyed.select(*_KEY, "text")
     rows = work.save(text.mapInArrow(_hashes, "_id long, _key long, idx int, h long"))
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "idx")).alias("c")).where("n > 1")
@@ -143,9 +148,9 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = work.save(firsts.dropDuplicates(["h"]))
     again = rows.join(firsts, "h").where("not (_id = c_id and _key = c_key and idx = c_idx)")
     again = work.save(again.groupBy(*_KEY).agg(F.collect_list(F.struct("idx", "chunk")).alias("_repeats")))
-    names = docs.columns
-    schema = K.StructType([*docs.schema.fields]).add("_lines", "long").add("_gone_lines", "long").add("_gone_words", "long")
-    return keyed.join(again, _KEY, "left").select(*names, "_repeats").mapInArrow(_rewriter(names), schema)
+    schema = K.StructType([*plain.schema.fields]).add("_lines", "long").add("_gone_lines", "long").add("_gone_words", "long")
+    out = keyed.join(again, _KEY, "left").select(*names, "_repeats").mapInArrow(_rewriter(names), schema)
+    return out.toDF(*docs.columns, "_lines", "_gone_lines", "_gone_words")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -104,10 +104,10 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs' columns and score."""
+def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """docs' columns and, under a name that docs must not have, the score."""
     shared = spark.sparkContext.broadcast(model)
-    at, names = docs.columns.index("text"), [*docs.columns, "score"]
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
@@ -120,7 +120,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names)
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add("score", "double"))
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add(name, "double"))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
