@@ -63,7 +63,8 @@ def bins(shingles: list[np.ndarray]) -> np.ndarray:
 
 def pack(values: np.ndarray, some: np.ndarray) -> list[str]:
     """Hex of the bins' low bits; the empty string for a text without shingles."""
-    low = (T.mix(values) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # with the bin mixed in, unequal values agree by chance in each bin on its own, also where bins hold copies
+    low = (T.mix(values ^ T.mix(np.arange(BINS, dtype=np.uint64))) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     joined = low[:, 0::2] << 4 | low[:, 1::2]
     return [x.tobytes().hex() if s else "" for x, s in zip(joined, some, strict=True)]
 
