@@ -138,13 +138,13 @@ def line_to_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "latest_covering_event",
-    """WITH needs AS (SELECT event_id AS need_id, user_id AS run, (value::BIGINT % 50) AS lo, (value::BIGINT % 50) + 5 AS hi FROM events WHERE event_type = 'purchase'),
-    reads AS (SELECT user_id AS run, event_id AS read_ord, (value::BIGINT % 40) AS a, (value::BIGINT % 40) + 30 AS b FROM events WHERE event_type = 'view')
+    """WITH needs AS (SELECT event_id AS need_id, user_id AS run, (floor(value)::BIGINT % 50) AS lo, (floor(value)::BIGINT % 50) + 5 AS hi FROM events WHERE event_type = 'purchase'),
+    reads AS (SELECT user_id AS run, event_id AS read_ord, (floor(value)::BIGINT % 40) AS a, (floor(value)::BIGINT % 40) + 30 AS b FROM events WHERE event_type = 'view')
     SELECT need_id, (SELECT max(read_ord) FROM reads r WHERE r.run = n.run AND a <= lo AND b >= hi) AS read_ord FROM needs n""",
 )
 def latest_covering_event(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    v = F.expr("cast(round(value) as bigint)")
+    v = F.expr("cast(floor(value) as bigint)")
     needs = e.where("event_type = 'purchase'").select(F.col("event_id").alias("need_id"), F.col("user_id").alias("run"), (v % 50).alias("lo"), (v % 50 + 5).alias("hi"))
     reads = e.where("event_type = 'view'").select(F.col("user_id").alias("run"), F.col("event_id").alias("read_ord"), (v % 40).alias("a"), (v % 40 + 30).alias("b"))
     return M.latest_covering(needs, reads).select("need_id", "read_ord")

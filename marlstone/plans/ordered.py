@@ -132,11 +132,11 @@ def hypothesis_patches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "run_budget",
-    """SELECT event_id, user_id, call, call = 5 OR spent >= 150 AS must_end FROM (SELECT *, count(*) OVER w AS call, sum(value::BIGINT) OVER w AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-    WHERE call <= 5 AND spent - value::BIGINT < 150""",
+    """SELECT event_id, user_id, call, call = 5 OR spent >= 150 AS must_end FROM (SELECT *, count(*) OVER w AS call, sum(floor(value)::BIGINT) OVER w AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    WHERE call <= 5 AND spent - floor(value)::BIGINT < 150""",
 )
 def run_budget(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "events").withColumn("cost", F.expr("cast(bround(value) as bigint)"))
+    x = table(spark, d, "events").withColumn("cost", F.expr("cast(floor(value) as bigint)"))
     return O.within_budget(x, "user_id", "event_id", "cost", 5, 150).select("event_id", "user_id", "call", "must_end")
 
 
