@@ -52,13 +52,13 @@ def verdict_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "consistency_missing",
-    """WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag <> 'R' AS gated FROM lineitem), r AS (SELECT l_suppkey FROM f GROUP BY l_suppkey HAVING count(*) >= 4 AND avg(gated::INT) >= 0.72)
+    """WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag <> 'R' AS gated FROM lineitem), r AS (SELECT l_suppkey FROM f GROUP BY l_suppkey HAVING count(*) >= 4 AND avg(gated::INT) >= 0.68)
     SELECT l_suppkey, l_orderkey, l_linenumber FROM f WHERE NOT gated AND l_suppkey IN (SELECT l_suppkey FROM r)""",
 )
 def consistency_missing(spark: SparkSession, d: str) -> DataFrame:
     """Rows without what at least half of their group of four or more has."""
     f = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_returnflag") != "R").alias("gated"))
-    return R.odd_ones(f, "l_suppkey", "gated", 4, 0.72).select("l_suppkey", "l_orderkey", "l_linenumber")
+    return R.odd_ones(f, "l_suppkey", "gated", 4, 0.68).select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
 @query("file_load", "SELECT doc_id, round(ln(1 + count(*) OVER (PARTITION BY source, lang)) / 3, 6) AS load FROM documents")

@@ -207,3 +207,39 @@ def test_streams(spark, tmp_path):
     q = trace.hypotheses(spark.readStream.schema(patches.schema).parquet(str(tmp_path / "p"))).writeStream.format("memory").queryName("hyp").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select * from hyp").collect()] == [("h", "closed", "n", 3)]
+
+
+def test_catalog(spark, tmp_path):
+    from marlstone.operators import catalog as K
+
+    (tmp_path / "w.xml").write_text('<L><Weakness ID="89" Name="N"><Description>d</Description><Related_Weaknesses><Related_Weakness Nature="ChildOf" CWE_ID="74"/></Related_Weaknesses><Common_Consequences><Consequence><Scope>A</Scope><Scope>B</Scope><Impact>I</Impact></Consequence></Common_Consequences></Weakness><Weakness ID="2" Name="M"><Description>e</Description></Weakness></L>')
+    w = S.weaknesses(spark, str(tmp_path / "w.xml"))
+    assert rows(K.weakness_chunks(w)) == [("CWE-2", 0, "CWE-2: M\ne"), ("CWE-89", 0, "CWE-89: N\nd"), ("CWE-89", 1, "- A, B: I"), ("CWE-89", 2, "- ChildOf CWE-74")]
+    cards = spark.createDataFrame([("c", json.dumps({"a": {"refs": ["x#1"], "b": [{"refs_more": ["y#2", "z"]}]}, "refs": "no"}))], "id string, json string")
+    refs = K.references(cards)
+    assert rows(refs) == [("c", "a.b[0].refs_more", "y#2"), ("c", "a.b[0].refs_more", "z"), ("c", "a.refs", "x#1")]
+    chunks = spark.createDataFrame([("x#1",), ("y#2",)], "id string")
+    assert [r.ref for r in K.broken_references(refs, chunks).collect()] == ["z"]
+    fam = spark.createDataFrame([("f", ["CWE-1", "CWE-2"]), ("g", ["CWE-3"])], "family string, cwe_ids array<string>")
+    assert rows(K.outside_family(spark.createDataFrame([("c", "f", ["CWE-2", "CWE-9"]), ("d", "g", ["CWE-3"])], "id string, family string, cwe_ids array<string>"), fam)) == [("c", ["CWE-9"])]
+    assert rows(K.family_categories(fam, spark.createDataFrame([("A1", ["CWE-2", "CWE-1"]), ("A2", ["CWE-7"])], "category string, cwe_ids array<string>"))) == [("f", "A1")]
+    known, skipped = K.wanted([spark.createDataFrame([("CWE-100",), ("CWE-9",)], "id string"), spark.createDataFrame([("CWE-9",), ("CWE-7",)], "id string")], spark.createDataFrame([("CWE-9",), ("CWE-100",)], "id string"))
+    assert [r.id for r in known.collect()] == ["CWE-9", "CWE-100"] and [r.id for r in skipped.collect()] == ["CWE-7"]
+    one = spark.range(1)
+    assert one.select(K.mapped_ids(F.lit("CWE-5 list: CWE-20, CWE-3 CWE-20"), "list:")).head()[0] == ["CWE-3", "CWE-20"]
+    assert one.select(K.top_list(F.lit("CWE-2 CWE-1 CWE-2"), 2)).head()[0] == ["CWE-2", "CWE-1"]
+    with pytest.raises(Exception, match="ids found: 1"):
+        one.select(K.top_list(F.lit("CWE-2"), 2)).collect()
+    import hashlib
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    m = spark.createDataFrame([("a", digest("1")), ("b", digest("2")), ("c", "x")], "path string, sha256 string")
+    assert rows(K.manifest_faults(m, spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "4")], "path string, text string"))) == [("b", "changed"), ("c", "missing"), ("d", "unlisted")]
+    facts = C.facts(application(spark))
+    loci = spark.createDataFrame([("shop", "k1", "shop/views.py", "shelf")], "app string, case_id string, path string, function string")
+    assert [(r.line_start, r.line_end) for r in K.manifest_loci(loci, facts).collect()] == [(21, 24)]
+    assert rows(K.core_split(spark.createDataFrame([("a", 1), ("a", 2)], "app string, id int"), spark.createDataFrame([("a", 1, "CWE-89"), ("a", 2, "CWE-5"), ("b", 1, "CWE-89")], "app string, id int, cwe string"), ["CWE-89"])) == [(False, 1), (True, 1)]
+    x = spark.createDataFrame([("x = 1  # hi\ny = '# no'\n",), ("def (:",), (None,)], "t string").select(K.without_comments("t").alias("t"))
+    assert [r.t for r in x.collect()] == ["x = 1      \ny = '# no'\n", "def (:", ""]
+    assert one.select(K.hidden_report(F.lit("a​b‮​"))).head()[0] == "U+200B ZERO WIDTH SPACE, U+202E RIGHT-TO-LEFT OVERRIDE"
+    assert one.select(K.wrapped(F.lit("a N1 b"), "N1")).head()[0] == "<<N1\na  b\nN1>>"
