@@ -30,17 +30,18 @@ def bm25(docs: DataFrame, key: str, weights: dict[str, float], queries: DataFram
     Only the queries' terms are read out of the index, so the shuffle carries their postings alone. A query's
     candidates are ranked in a window whose limit Spark applies before the shuffle too.
     """
-    parts = [F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)")), _weighted(w)) for c, w in weights.items()]
+    parts = [F.transform(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), ""), _weighted(w)) for c, w in weights.items()]
     return bm25_tokens(docs.select(key, F.concat(*parts).alias("ts")), key, queries, k)
 
 
 def bm25_tokens(docs: DataFrame, key: str, queries: DataFrame, k: int) -> DataFrame:
     """The same over tokens made before: docs (key, ts array<struct<term, w>>)."""
     wanted = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    tokens = docs.select(key, F.size("ts").alias("length"), "ts")
+    # exploding an array of one keeps the tokens from being made again for each use
+    tokens = docs.select(key, F.explode(F.array("ts")).alias("ts")).select(key, F.size("ts").alias("length"), "ts")
     stats = tokens.agg(F.count(F.lit(1)).alias("corpus"), F.avg("length").alias("mean"))
     tf = tokens.select(key, "length", F.explode("ts").alias("t")).select(key, "length", "t.*").join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.sum("w").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("term").agg(F.count("tf").alias("n"))  # counting tf, so that the exchange below it is the same and is reused
     idf = F.log((F.col("corpus") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, FLOOR).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - NORM + NORM * F.col("length") / F.col("mean")))
