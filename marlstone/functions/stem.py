@@ -1,4 +1,4 @@
-"""Porter's stemmer, from its published rules, as a Pandas UDF over distinct terms."""
+"""Porter's stemmer, from its published rules, as an Arrow UDF over distinct terms."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -75,9 +76,23 @@ def stem(w: str) -> str:
 
 def fold(w: str) -> str:
     """Lower case without accents."""
+    if w.isascii():
+        return w.lower()
     return "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: [stem(fold(t)) for t in ts])
+@lru_cache(1 << 17)
+def term(w: str) -> str:
+    """A search term: folded and stemmed."""
+    return stem(fold(w))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stems(tokens: pa.Array) -> pa.Array:
+    """Terms of lists of words; each different word of a batch is stemmed once."""
+    lists = tokens.cast(pa.list_(pa.string()))
+    words = lists.flatten().dictionary_encode()
+    known = pa.array([None if w is None else term(w) for w in words.dictionary.to_pylist()], pa.string())
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), known.take(words.indices))

@@ -22,15 +22,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def leave_one_out(rows: DataFrame, group: str, key: str, features: list[str], label: str, threshold: float = 0.5) -> DataFrame:
+def leave_one_out(rows: DataFrame, group: str, key: str, features: list[str], label: str, threshold: float = 0.5, most_groups: int = 200) -> DataFrame:
     """(group, key, p, keep) for every row, scored by weights from all other groups.
 
     The gradient needs only sums, so rows are first merged: equal feature rows with equal labels count once with their number.
-    Groups are few and named by the caller; each fold's merged table is bounded by the features' different values.
+    A fold's merged table is bounded by the features' different values; more than most_groups groups are an error, not cut.
     """
     merged = rows.groupBy(group, *features, label).agg(F.count(F.lit(1)).alias("_n"))
-    folds = rows.select(F.col(group).alias("_fold")).distinct()
-    train = merged.join(folds, F.col(group) != F.col("_fold"))
+    folds = sorted(r[0] for r in rows.select(group).where(F.col(group).isNotNull()).distinct().limit(most_groups + 1).collect())
+    if len(folds) > most_groups:
+        raise ValueError(f"more than {most_groups} groups to leave out")
+    others = F.array_except(F.array(*map(F.lit, folds)), F.array(group))
+    train = merged.withColumn("_fold", F.explode(others))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf[label].notna()]
