@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +132,18 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _digest(held)
 
 
+def _ranged(docs: DataFrame, borders: list[int]) -> DataFrame:
+    """docs with the number of borders up to its id as part; null ids are in the first one."""
+    if not borders:
+        return docs.withColumn("part", F.lit(0))
+    if max(map(abs, borders)) < 1 << 53:  # exact as doubles, so a binary search serves any number of borders
+        x = docs.withColumn("_at", F.coalesce("doc_id", F.lit(borders[0] - 1)).cast("double"))
+        split = Bucketizer(splits=[float("-inf"), *map(float, borders), float("inf")], inputCol="_at", outputCol="_part")
+        return split.transform(x).withColumn("part", F.col("_part").cast("int")).drop("_at", "_part")
+    below = F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x <= F.col("doc_id")))
+    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(below))
+
+
 def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of each document (doc_id, text) and of its edit with the following document's text.
 
@@ -142,11 +155,10 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts), F.count(F.lit(1)), F.count("doc_id")).head()
     borders = sorted({x for x in cuts[1] or [] if x > cuts[0]})
-    known = F.coalesce(F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x <= F.col("doc_id"))), F.lit(0)) if borders else F.lit(0)
     first = F.col("doc_id").isin(*borders) if borders else F.lit(False)
     #: The first row of all follows the last one.
     top = docs.where("doc_id is null" if cuts[3] < cuts[2] else F.col("doc_id") == cuts[0]).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    own = docs.select(known.cast("int").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = _ranged(docs, borders).select("part", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     start = own.where(first).groupBy("doc_id").agg(F.min("part").alias("part"), F.min("text").alias("text"))
     extra = start.select((F.col("part") - 1).alias("part"), "doc_id", "text").unionByName(top.select(F.lit(len(borders)).alias("part"), "doc_id", "text"))
     rows = own.select("part", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extra.select("part", F.lit(True).alias("extra"), "doc_id", "text"))
