@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the tokenizer format: its pre-token pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 1_000_000  # pieces whose tokens a worker remembers
+CACHE = 400_000  # pieces whose tokens a worker remembers
 PIECES = 1 << 16  # pieces of a text that are in hand at once
 _MODELS: dict[str, BPE] = {}
 
@@ -86,7 +86,7 @@ class BPE(dict):
 
     def beside(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's bytes in a row is just a, b."""
-        if len(self._beside) > 1_000_000:
+        if len(self._beside) > 250_000:
             self._beside.clear()
         known = self._beside[a << 20 | b] = self._settle(a, b)
         return known
@@ -143,7 +143,7 @@ class BPE(dict):
         while at and (at << 8 | x) not in self.step:
             at = self.fail[at]
         out = self.step.get(at << 8 | x, 0)
-        if len(self.step) < self.tree + 500_000:
+        if len(self.step) < self.tree + 150_000:
             self.step[state << 8 | x] = out
         return out
 
