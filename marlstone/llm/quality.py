@@ -3,7 +3,8 @@
 A text's words are its runs of letters and digits and its runs of other marks, case kept; words and pairs of
 neighbours, and whether a word repeats one of the two before it, are hashed to 2**BITS weights. A feature's value is its share of the text's n-grams, so a score
 is a sparse dot product that does not grow with the length. Training takes at most TRAIN_ROWS labelled
-rows (those with the smallest hash of their id; a documented bound that keeps the training in one task);
+rows (those with the smallest hash of their id; a documented bound that keeps the training in one task, in a
+fixed order, so that a repeated run learns the same weights);
 all else is one pass over whole texts.
 
 Defined results: a null or empty text has no features and gets the bias's score; labels that are null, or
@@ -94,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = known.where(F.col("y").isin(0, 1) & ~held_out("doc_id"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "y").limit(TRAIN_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    model = rows.repartition(1).mapInArrow(_train, "w binary, b double").collect()
+    model = rows.repartition(1).sortWithinPartitions("text", "y").mapInArrow(_train, "w binary, b double").collect()
     if not model:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(model[0]["w"], np.float32), model[0]["b"]
