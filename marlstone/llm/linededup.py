@@ -1,10 +1,10 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by chunks of one line.
 
-A hash that rolls over the hashes of two neighbouring lines ends a chunk where it is a multiple of MODULUS, so a
-passage is cut alike wherever it stands; a line of LONG_LINE words or more is a chunk by itself. Chunks
+The content's line ends are the only cuts, so a passage is cut alike wherever it stands, whatever its neighbours. Chunks
 whose hash occurs again anywhere are candidates; each is compared byte by byte with the first occurrence
-(smallest document id, then position), which stays. Equal ones go where a run of them has two lines or
-LONG_LINE words, so single short lines are left alone.
+(smallest document id, then position), which stays. Equal ones go where a run of them has two lines with words or
+LONG_LINE words, so single short lines are left alone, beside blank lines too. A run's lines need not
+stand together at their first occurrences: two repeated lines that meet are a run.
 
 Counts are aggregated before the shuffle; candidates meet the first occurrence's text in joins that AQE can
 split, so a chunk that a third of all documents share does not land in one task.
@@ -29,13 +29,12 @@ from pyspark.sql import types as K
 from marlstone.llm import _text as T
 from marlstone.llm._work import Work
 
-MODULUS = 3
 LONG_LINE = 50
 _KEY = ["_id", "_key"]
 
 
 def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end (without the line end) of each chunk, its lines and words, and offsets by row."""
+    """Start and end (without the line end) of each chunk, its lines with words (0 or 1) and words, and offsets by row."""
     n = len(rows) - 1
     newline = np.flatnonzero(data == 10)
     # a line starts at each row's start and after each line end; a row's last line may be empty
@@ -48,21 +47,9 @@ def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.empty_like(start)
     end[~last] = start[1:][~last[:-1]] - 1 if len(start) > 1 else 0
     end[last] = rows[1:]
-    h = T.span_hashes(data, start, end)
     w = T.words(data, rows, lower=False)
     n_words = np.searchsorted(w.start, end) - np.searchsorted(w.start, start)
-    long = n_words >= LONG_LINE
-    roll = np.zeros(len(h), np.uint64)
-    roll[1:] = T.mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:])
-    first = np.ones(len(h), bool)
-    first[1:] = last[:-1]
-    roll[first] = T.mix(h[first])
-    closes = last | long | (roll % np.uint64(MODULUS) == 0)
-    closes[:-1] |= long[1:]
-    at = np.flatnonzero(closes)
-    begin = np.concatenate(([0], at[:-1] + 1)) if len(at) else at
-    total = np.concatenate(([0], np.cumsum(n_words)))
-    return start[begin], end[at], at - begin + 1, total[at + 1] - total[begin], np.searchsorted(row[at], np.arange(n + 1))
+    return start, end, (n_words > 0).astype(np.int64), n_words, np.searchsorted(row, np.arange(n + 1))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +107,8 @@ def _rewriter(names: list[str]):
                         new.append(b"\n".join(data[start[k] : end[k]].tobytes() for k in range(a, b) if k not in gone).decode("utf-8", "replace"))
                     else:
                         new.append(data[rows[r] : rows[r + 1]].tobytes().decode("utf-8", "replace"))
-                    all_lines.append(int(lines[a:b].sum()))
-                    gone_lines.append(int(lines[drop].sum()))
+                    all_lines.append(b - a)
+                    gone_lines.append(len(drop))
                     gone_words.append(int(words[drop].sum()))
                 part = batch.slice(i, j - i)
                 cols = [pa.array(new, pa.string()) if c == "text" else part.column(c) for c in names]
