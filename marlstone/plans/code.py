@@ -80,7 +80,7 @@ def helper_strength(spark: SparkSession, d: str) -> DataFrame:
 @query("candidate_features")
 def candidate_features(spark: SparkSession, d: str) -> DataFrame:
     files = application(spark)
-    return C.candidate_features(C.sinks(C.facts(files)).select("app", "path", F.col("line_start").alias("line"), "family"), files)
+    return C.candidate_features(C.sinks(C.facts(files), None).select("app", "path", F.col("line_start").alias("line"), "family"), files)
 
 
 @query("html_sections")
