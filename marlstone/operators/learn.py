@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 EPOCHS, RATE, RIDGE = 400, 0.1, 1.0
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights; the first feature is the bias and is not shrunk."""
+def fit(x: np.ndarray, y: np.ndarray, k: np.ndarray | None = None) -> np.ndarray:
+    """Weights, each row counted k times; the first feature is the bias and is not shrunk."""
     w = np.zeros(x.shape[1])
-    n = max(1, len(x))
+    k = np.ones(len(x)) if k is None else k
+    n = max(1, k.sum())
     shrink = np.full(x.shape[1], RIDGE)
     shrink[0] = 0
     for _ in range(EPOCHS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= RATE * (x.T @ (p - y) + shrink * w) / n
+        w -= RATE * (x.T @ (k * (p - y)) + shrink * w) / n
     return w
 
 
@@ -37,9 +38,8 @@ def leave_one_out(rows: DataFrame, group: str, key: str, features: list[str], la
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf[label].notna()]
-        k = known["_n"].to_numpy()
-        x = np.repeat(np.column_stack([np.ones(len(known)), known[features].to_numpy(float)]), k, axis=0)
-        w = fit(x, np.repeat(known[label].to_numpy(float), k))
+        x = np.column_stack([np.ones(len(known)), known[features].to_numpy(float)])
+        w = fit(x, known[label].to_numpy(float), known["_n"].to_numpy(float))
         return pd.DataFrame({group: [pdf["_fold"].iloc[0]], "_w": [w.tolist()]})
 
     kind = rows.schema[group].dataType.simpleString()
