@@ -3,7 +3,8 @@
 Fuzzy search works on each text's normal form (its words, A-Z lower-cased, joined by one space). A notice that
 may have k edits is split into k + 1 pieces; at least one of them is unchanged, so exact search for
 the pieces finds every candidate place. Around each, the regex library's bounded-error matching decides and
-reports the span and its edits. Only rows with a piece are looked at again.
+reports the span and its edits. A word that tells licenses apart (WHOLE) has no edits; they are spent on the rest. Only rows
+with a piece are looked at again.
 
 Defined results: a null or empty text has no words and no label; labels are distinct and sorted; rows are
 independent, so repeated rows, repeated or null ids and extra columns change nothing; an empty table gives
@@ -34,10 +35,14 @@ NOTICES = (
     ("redistribution and use in source and binary forms", "bsd", 5),
     ("mozilla public license", "mpl", 2),
     ("gnu general public license", "gpl", 2),
+    ("general public license", "gpl", 2),
     ("licensed under cc by nc", "cc-by-nc", 2),
     ("all rights reserved", "reserved", 1),
 )
 
+#: Words of notices, by their labels, that stand as they are.
+WHOLE = {"mit": "mit", "cc-by-nc": "nc"}
+
 
 class Found(NamedTuple):
     row: int
@@ -71,9 +76,31 @@ def phrase_starts(w: T.Words, hashes: np.ndarray, phrase: str) -> np.ndarray:
     return at[np.array(same, bool)] if len(at) else at
 
 
+def pattern(notice: str, label: str, edits: int) -> regex.Pattern:
+    """The notice with so many edits, the best match first; around a whole word each side may have them all, and their sum is to be checked."""
+    near = lambda s: f"(?:{regex.escape(s)}){{e<={edits}}}" if s else ""
+    word = WHOLE.get(label)
+    if word is None or word not in notice.split(" "):
+        return regex.compile("(?b)" + near(notice))
+    head, tail = f" {notice} ".split(f" {word} ", 1)
+    side = r"[0-9a-z\x80-\xff]"
+    return regex.compile(f"(?b){near(f'{head.lstrip()} ' if head.strip() else '')}(?<!{side}){word}(?!{side}){near(f' {tail.rstrip()}' if tail.strip() else '')}")
+
+
+def every_match(p: regex.Pattern, text: str) -> Iterator[regex.Match]:
+    """Matches that do not overlap, in order: the best one, and those before and after it."""
+    todo: list = [(0, len(text))]
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, tuple):
+            yield x
+        elif m := p.search(text, *x):
+            todo += [(m.end(), x[1]), m, (x[0], m.start())]
+
+
 class Scanner:
     def __init__(self, notices: tuple[tuple[str, str, int], ...] = NOTICES):
-        self.notices = [(n, label, k, pieces(n, k), regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}")) for n, label, k in notices]
+        self.notices = [(n, label, k, pieces(n, k), pattern(n, label, k)) for n, label, k in notices]
 
     def fuzzy(self, w: T.Words) -> list[Found]:
         """The notices in the rows of a block."""
@@ -84,14 +111,14 @@ class Scanner:
         text = np.where(inside[at], w.data[at], 0x20).astype(np.uint8).tobytes()
         rows = np.searchsorted(at, w.rows)
         found = []
-        for notice, label, edits, parts, pattern in self.notices:
+        for notice, label, edits, parts, near in self.notices:
             windows: dict[int, list[tuple[int, int]]] = {}
             for offset, piece in parts:
                 p, i = piece.encode(), -1
                 while (i := text.find(p, i + 1)) >= 0:
                     row = int(np.searchsorted(rows, i, "right")) - 1
                     if i + len(p) <= rows[row + 1]:
-                        windows.setdefault(row, []).append((max(rows[row], i - offset - edits), min(rows[row + 1], i - offset + len(notice) + edits)))
+                        windows.setdefault(row, []).append((max(rows[row], i - offset - edits - 1), min(rows[row + 1], i - offset + len(notice) + edits + 1)))
             for row, spans in windows.items():
                 joined: list[list[int]] = []
                 for a, b in sorted(spans):
@@ -101,9 +128,11 @@ class Scanner:
                         joined.append([int(a), int(b)])
                 for a, b in joined:
                     # Latin-1 keeps one character for a byte
-                    for m in pattern.finditer(text[a:b].decode("latin-1")):
+                    for m in every_match(near, text[a:b].decode("latin-1")):
                         s, e = a + m.start(), a + m.end()
                         n = sum(m.fuzzy_counts)
+                        if n > edits:
+                            continue
                         found.append(Found(row, label, int(at[s]), int(at[e - 1]) + 1, n, 1 - n / len(notice)))
         return found
 
