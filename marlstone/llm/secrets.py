@@ -1,8 +1,8 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
 All of it is DataFrame expressions and Spark's own random forest, which run in the JVM; nothing is shuffled after the
-scan. A text is cut at white space, quotes and brackets; a candidate is a piece of at least MIN_LENGTH letters,
-digits and `+/_=.-` that has a digit or changes case often. The forest looks at its length, at the transitions between its
+scan. A text is cut at white space, quotes, brackets and marks, and after colons; a candidate is a piece of at least MIN_LENGTH letters,
+digits and `+/_=.-` that has a digit or changes case often, or one of any length that a key word with `=` or `:` stands before. The forest looks at its length, at the transitions between its
 kinds of characters, at the share of it that a small dictionary covers, at the path of its file and at the
 words beside it. It learns from labelled findings (a bounded table: `labelled_findings` makes one whose labels
 hold by construction; findings from reviews have the same columns).
@@ -25,10 +25,8 @@ MIN_LENGTH = 16
 LABELLED = 6000
 TREES, DEPTH, SEED = 24, 7, 5
 ACCEPT = 0.5
-_CUT = r"[\s\"'`<>(){}\[\],;|*$%&#!?]+"
-_BODY = rf"^[A-Za-z0-9+/_=.\-]{{{MIN_LENGTH},}}$"
-#: A quick test whether a text can have a candidate at all.
-_MAYBE = rf"[A-Za-z0-9+/_=.\-]{{{MIN_LENGTH}}}"
+_CUT = r"[\s\"'`<>(){}\[\],;|*$%&#!?@~^\\]+|(?<=:)"
+_BODY = r"^[A-Za-z0-9+/_=.\-]+$"
 _CHANGES = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 
 #: Pieces of words that make up ordinary text and identifiers.
@@ -42,6 +40,8 @@ DICTIONARY = (
 ).split()
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private|signing)"
 PLAIN_WORDS = r"(?i)(commit|sha|md5|hash|checksum|digest|uuid|guid|id$|etag|revision|build|version|order|card|phone|example|sample|dummy|fake)"
+#: A key word and its sign at a piece's start, with a value behind them.
+_ASSIGNS = rf"^[A-Za-z0-9_.\-]*{KEY_WORDS}[A-Za-z0-9_.\-]*=[^=]"
 QUIET_PATHS = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|vendor|lock)"
 
 FEATURES = ["length", "changes", "digits", "uppers", "lowers", "marks", "distinct", "hexes", "dictionary", "quiet_path", "key_word", "assigned", "plain_word", "known_prefix", "holds_plain"]
@@ -102,6 +102,12 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
         (F.concat_ws("/", pick("w1", DICTIONARY), pick("w2", DICTIONARY), pick("w3", DICTIONARY), F.concat(pick("w4", DICTIONARY), F.substring(digits, 1, 1), F.lit(".html"))), pick("c", ["=", *common]), pick("c2", common), 0),
         (F.concat(pick("e", ["your_token_here_", "example_secret_", "changeme_placeholder_", "xxxxxxxxxxxxxxxx"]), F.substring(digits, 1, 3)), F.lit("="), pick("k", keys), 0),
         (F.concat_ws(".", pick("w1", DICTIONARY), F.concat(pick("w2", DICTIONARY), F.substring(digits, 1, 2)), F.lit("mail"), F.lit("example.com")), pick("c", common), pick("c2", common), 0),
+        (F.substring(alnum, 1, 20), F.concat(F.lit("//"), pick("c", ["user", "admin", "root", "deploy", "git"]), F.lit(":")), F.lit("https:"), 1),
+        (F.substring(alnum, 1, 10), pick("e", ["=", ":"]), pick("k", keys), 1),
+        (F.substring(h("x"), 1, 12), F.concat(pick("k", keys), pick("e", ["=", ":"])), pick("c", common), 1),
+        (F.concat(pick("w1", DICTIONARY), pick("w2", DICTIONARY)), pick("e", ["=", ":"]), pick("k", keys), 0),
+        (pick("w1", [*DICTIONARY, *common]), F.concat(pick("k", keys), pick("e", ["=", ":"])), pick("c", common), 0),
+        (F.concat(F.lit("//"), pick("w1", DICTIONARY), F.lit("."), pick("w2", DICTIONARY), F.lit(".com/"), pick("w3", DICTIONARY), F.lit("/"), pick("w4", DICTIONARY), F.substring(digits, 1, 3)), F.lit("https:"), pick("c", common), 0),
     ]
     at = (i % len(cases)).cast("int")
     choose = lambda k: F.element_at(F.array(*(F.lit(c[k]) if isinstance(c[k], int) else c[k] for c in cases)), at + 1)
@@ -118,16 +124,21 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, word, candidate, before2, before, first_char): word counts the pieces of the text from 0."""
-    def fits(s: Column) -> Column:
-        return (F.length(s) >= MIN_LENGTH) & s.rlike(_BODY) & (s.rlike("[0-9]") | (F.regexp_count(s, F.lit(_CHANGES)) >= 4))
+    def fits(s: Column, before: Column, before2: Column) -> Column:
+        near = F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")))
+        keyed = (F.coalesce(before, F.lit("")).rlike("[=:]$") & near.rlike(KEY_WORDS)) | s.rlike(_ASSIGNS)
+        return s.rlike(_BODY) & s.rlike("[A-Za-z0-9]") & (((F.length(s) >= MIN_LENGTH) & (s.rlike("[0-9]") | (F.regexp_count(s, F.lit(_CHANGES)) >= 4))) | keyed)
+
+    def bare(w: Column, k: Column) -> Column:
+        return F.rtrim(F.get(w, k), F.lit(":"))
 
     def found(w: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda k: fits(F.get(w, k)))
-        return F.transform(places, lambda k: F.struct(k.alias("word"), F.get(w, k).alias("candidate"), F.get(w, k - 2).alias("before2"), F.get(w, k - 1).alias("before")))
+        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda k: fits(bare(w, k), F.get(w, k - 1), F.get(w, k - 2)))
+        return F.transform(places, lambda k: F.struct(k.alias("word"), bare(w, k).alias("candidate"), F.get(w, k - 2).alias("before2"), F.get(w, k - 1).alias("before")))
 
     # the pieces are a lambda's argument, so the text is cut once and not again for each of them
     every = F.flatten(F.transform(F.array(F.split("text", _CUT)), found))
-    rows = docs.where(F.col("text").rlike(_MAYBE)).select("doc_id", "path", "text", F.explode(every).alias("x"))
+    rows = docs.select("doc_id", "path", "text", F.explode(every).alias("x"))
     return rows.select("doc_id", "path", "x.*", (F.expr("instr(text, x.candidate)") - 1).alias("first_char"))
 
 
