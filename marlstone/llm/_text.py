@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
-_POWERS: list[np.ndarray] = []
+_LANES = 1 << 17
+#: The first n bytes of a little-endian lane.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -112,31 +113,31 @@ def runs(data: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> Words:
     return Words(data, rows, start, end, np.searchsorted(start, rows))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, _SEGMENT + 1)
-        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, U), np.full(n - 1, p, U))), dtype=U) for p in (_BASE, _INVERSE)]
-    return _POWERS[0], _POWERS[1]
-
-
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans (ascending, not overlapping), from prefix sums of a polynomial."""
+    """64-bit hashes of byte spans: each lane of eight bytes is mixed under its number in the span, and the lanes are added.
+
+    No two spans collide by their structure (as they would under a polynomial modulo a power of two); an empty span has a hash too.
+    """
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
     out = np.zeros(len(start), U)
-    i = 0
-    while i < len(start):
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, base + _SEGMENT, "right")))
-        up, down = _powers(int(end[j - 1]) - base + 1)
-        piece = data[base : end[j - 1]].astype(U)
-        piece += U(1)
-        piece *= up[: len(piece)]
-        total = np.empty(len(piece) + 1, U)
-        total[0] = 0
-        np.cumsum(piece, out=total[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = (total[e] - total[s]) * down[s]
-        i = j
-    return mix(out + (np.asarray(end - start).astype(U) << U(48)))
+    if not len(start):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    at_byte = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    lanes = (size + 7) >> 3
+    upto = np.concatenate(([0], np.cumsum(lanes)))
+    for a in range(0, int(upto[-1]), _LANES):
+        b = min(a + _LANES, int(upto[-1]))
+        i, j = int(np.searchsorted(upto, a, "right")) - 1, int(np.searchsorted(upto, b, "left"))
+        of = np.repeat(np.arange(i, j), np.minimum(upto[i + 1 : j + 1], b) - np.maximum(upto[i:j], a))
+        k = np.arange(a, b) - upto[of]
+        v = at_byte[start[of] + 8 * k]
+        v &= _KEEP[np.minimum(size[of] - 8 * k, 8)]
+        v = mix(v ^ mix((k + 1).astype(U) * U(_ODD)))
+        whole = np.flatnonzero(np.diff(of, prepend=-1))
+        out[of[whole]] += np.add.reduceat(v, whole)
+    return mix(out + (size.astype(U) << U(48)))
 
 
 def word_hashes(w: Words) -> np.ndarray:

@@ -1,12 +1,17 @@
-"""Line dedup by chunks of one line.
+"""Line dedup by content-defined chunks of lines.
 
-The content's line ends are the only cuts, so a passage is cut alike wherever it stands, whatever its neighbours. Chunks
-whose hash occurs again anywhere are candidates; each is compared byte by byte with the first occurrence
-(smallest document id, then position), which stays. Equal ones go where a run of them has two lines with words or
-LONG_LINE words, so single short lines are left alone, beside blank lines too. A run's lines need not
-stand together at their first occurrences: two repeated lines that meet are a run.
+A rolling hash runs over the hashes of a text's lines that have words, two lines wide, so each joint of two
+neighbouring lines has a value that depends on them alone and that no insertion elsewhere shifts. Boundaries are the joints whose
+value no earlier place in the corpus has; between two boundaries lies a chunk, a longest run of lines all of whose joints
+stand elsewhere too. As the window is two lines wide, a repeated passage of two lines or more is always found whole,
+whatever stands beside it, and two lines that are repeated each on its own but never together are no chunk.
+A line of LONG_LINE words or more has a value by itself, as it is a passage written without line ends.
 
-Counts are aggregated before the shuffle; candidates meet the first occurrence's text in joins that AQE can
+Each joint (or long line) of a chunk is compared byte by byte with its first place (smallest document id, then
+position), which is kept; lines of equal ones go, with blank lines between them. Places only point
+backwards, so every line that goes still stands somewhere.
+
+Counts are aggregated before the shuffle; candidates meet the first place's text in joins that AQE can
 split, so a chunk that a third of all documents share does not land in one task.
 
 Defined results: a null text stays null, an empty one is one empty line; a document that consists of repeated
@@ -17,8 +22,7 @@ lines; null ids come first; other columns pass through; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,27 @@ from marlstone.llm import _text as T
 from marlstone.llm._work import Work
 
 LONG_LINE = 50
+_LONG = np.uint64(0xA0761D6478BD642F)
 _KEY = ["_id", "_key"]
 
 
-def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end (without the line end) of each chunk, its lines with words (0 or 1) and words, and offsets by row."""
+class Lines(NamedTuple):
+    start: np.ndarray  # of each line, in bytes of the block
+    end: np.ndarray  # without the line end
+    words: np.ndarray
+    first: np.ndarray  # row i's lines are first[i]:first[i + 1]
+
+
+class Units(NamedTuple):
+    """What is compared: joints (a line and the next one with words) and long lines."""
+
+    line: np.ndarray  # number in the block of the unit's first line
+    last: np.ndarray  # and of its last one
+    idx: np.ndarray  # the unit's number in its row: twice the first line's, plus one for a long line
+    row: np.ndarray
+
+
+def lines(data: np.ndarray, rows: np.ndarray) -> Lines:
     n = len(rows) - 1
     newline = np.flatnonzero(data == 10)
     # a line starts at each row's start and after each line end; a row's last line may be empty
@@ -48,36 +68,63 @@ def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end[~last] = start[1:][~last[:-1]] - 1 if len(start) > 1 else 0
     end[last] = rows[1:]
     w = T.words(data, rows, lower=False)
-    n_words = np.searchsorted(w.start, end) - np.searchsorted(w.start, start)
-    return start, end, (n_words > 0).astype(np.int64), n_words, np.searchsorted(row, np.arange(n + 1))
+    return Lines(start, end, np.searchsorted(w.start, end) - np.searchsorted(w.start, start), np.searchsorted(row, np.arange(n + 1)))
+
+
+def units(x: Lines) -> Units:
+    row = np.repeat(np.arange(len(x.first) - 1), np.diff(x.first))
+    worded, long = np.flatnonzero(x.words > 0), np.flatnonzero(x.words >= LONG_LINE)
+    joint = np.flatnonzero(row[worded[1:]] == row[worded[:-1]])
+    line, last = np.concatenate((worded[joint], long)), np.concatenate((worded[joint + 1], long))
+    return Units(line, last, (line - x.first[row[line]]) * 2 + (line == last), row[line])
+
+
+def hashes(data: np.ndarray, x: Lines, u: Units) -> np.ndarray:
+    h = T.span_hashes(data, x.start, x.end)
+    both = T.mix(h[u.line] * np.uint64(0x9FB21C651E98DF25) + h[u.last])
+    return np.where(u.line == u.last, T.mix(h[u.line] ^ _LONG), both)
+
+
+def _bytes(data: np.ndarray, x: Lines, line: int, last: int) -> bytes:
+    """A unit's bytes, without the blank lines inside."""
+    own = data[x.start[line] : x.end[line]].tobytes()
+    return own if line == last else own + b"\n" + data[x.start[last] : x.end[last]].tobytes()
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, rows in T.blocks(batch.column("text")):
-            start, end, _, _, first = chunks(data, rows)
-            count = np.diff(first)
-            row = pa.array(np.repeat(np.arange(i, j), count))
+        for i, _, data, rows in T.blocks(batch.column("text")):
+            x = lines(data, rows)
+            u = units(x)
+            row = pa.array(u.row + i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(row), batch.column("_key").take(row), pa.array((np.arange(len(start)) - np.repeat(first[:-1], count)).astype(np.int32)), pa.array(T.span_hashes(data, start, end).view(np.int64))],
+                [batch.column("_id").take(row), batch.column("_key").take(row), pa.array(u.idx.astype(np.int32)), pa.array(hashes(data, x, u).view(np.int64))],
                 [*_KEY, "idx", "h"],
             )
 
 
+def _ends(x: Lines, r: int) -> dict[int, tuple[int, int]]:
+    """The units of a row by their number: first and last line."""
+    a, b = int(x.first[r]), int(x.first[r + 1])
+    worded = (np.flatnonzero(x.words[a:b] > 0) + a).tolist()
+    out = {2 * (p - a): (p, q) for p, q in zip(worded, worded[1:], strict=False)}
+    return out | {2 * (p - a) + 1: (p, p) for p in worded if x.words[p] >= LONG_LINE}
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of wanted chunks, with their places: from (_id, _key, text, wanted)."""
+    """The bytes of wanted units, with their places: from (_id, _key, text, wanted)."""
     for batch in batches:
         wanted = batch.column("wanted")
         for i, j, data, rows in T.blocks(batch.column("text")):
-            start, end, _, _, first = chunks(data, rows)
+            x = lines(data, rows)
             h, at, of, out = [], [], [], []
             for r in range(j - i):
-                for x in wanted[i + r].as_py():
-                    k = first[r] + x["idx"]
-                    h.append(x["h"])
-                    at.append(x["idx"])
+                ends = _ends(x, r)
+                for y in wanted[i + r].as_py():
+                    h.append(y["h"])
+                    at.append(y["idx"])
                     of.append(i + r)
-                    out.append(data[start[k] : end[k]].tobytes())
+                    out.append(_bytes(data, x, *ends[y["idx"]]))
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.int64()), batch.column("_id").take(of), batch.column("_key").take(of), pa.array(at, pa.int32()), pa.array(out, pa.binary())], ["h", "c_id", "c_key", "c_idx", "chunk"]
@@ -89,27 +136,26 @@ def _rewriter(names: list[str]):
         for batch in batches:
             repeats, texts = batch.column("_repeats"), batch.column("text")
             for i, j, data, rows in T.blocks(texts):
-                start, end, lines, words, first = chunks(data, rows)
+                x = lines(data, rows)
                 new, all_lines, gone_lines, gone_words = [], [], [], []
                 for r in range(j - i):
-                    a, b = int(first[r]), int(first[r + 1])
-                    found = repeats[i + r].as_py() or []
-                    same = [x["idx"] for x in found if data[start[a + x["idx"]] : end[a + x["idx"]]].tobytes() == x["chunk"]]
+                    a, b = int(x.first[r]), int(x.first[r + 1])
                     gone: set[int] = set()
-                    for _, run_ in groupby(enumerate(sorted(set(same))), lambda p: p[1] - p[0]):
-                        k = [a + x for x in map(itemgetter(1), run_)]
-                        if lines[k].sum() >= 2 or words[k].sum() >= LONG_LINE:
-                            gone.update(k)
-                    drop = sorted(gone)
+                    if found := repeats[i + r].as_py():
+                        ends = _ends(x, r)
+                        for y in found:
+                            line, last = ends[y["idx"]]
+                            if _bytes(data, x, line, last) == y["chunk"]:
+                                gone.update(range(line, last + 1))
                     if not texts[i + r].is_valid:
                         new.append(None)
-                    elif drop:
-                        new.append(b"\n".join(data[start[k] : end[k]].tobytes() for k in range(a, b) if k not in gone).decode("utf-8", "replace"))
+                    elif gone:
+                        new.append(b"\n".join(data[x.start[k] : x.end[k]].tobytes() for k in range(a, b) if k not in gone).decode("utf-8", "replace"))
                     else:
                         new.append(data[rows[r] : rows[r + 1]].tobytes().decode("utf-8", "replace"))
                     all_lines.append(b - a)
-                    gone_lines.append(len(drop))
-                    gone_words.append(int(words[drop].sum()))
+                    gone_lines.append(len(gone))
+                    gone_words.append(int(x.words[sorted(gone)].sum()))
                 part = batch.slice(i, j - i)
                 cols = [pa.array(new, pa.string()) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(all_lines, pa.int64()), pa.array(gone_lines, pa.int64()), pa.array(gone_words, pa.int64())], [*names, "_lines", "_gone_lines", "_gone_words"])
@@ -135,6 +181,7 @@ def rewrite(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = work.save(firsts.dropDuplicates(["h"]))
     again = rows.join(firsts, "h").where("not (_id = c_id and _key = c_key and idx = c_idx)")
     again = work.save(again.groupBy(*_KEY).agg(F.collect_list(F.struct("idx", "chunk")).alias("_repeats")))
+    work.drop(rows, twice, firsts)
     schema = K.StructType([*plain.schema.fields]).add("_lines", "long").add("_gone_lines", "long").add("_gone_words", "long")
     out = keyed.join(again, _KEY, "left").select(*names, "_repeats").mapInArrow(_rewriter(names), schema)
     return out.toDF(*docs.columns, "_lines", "_gone_lines", "_gone_words")

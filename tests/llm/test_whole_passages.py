@@ -20,3 +20,15 @@ def test_passages_of_short_lines_go_whole(spark):
         assert got[k].text == first and got[1000 + k].text == f"{again[0]}\n{again[-1]}"
         assert got[1000 + k].removed_lines == p.count("\n") + 1 and got[1000 + k].removed_words == len(p.split()) and got[1000 + k].n_lines == len(again)
     assert got[3000].text == text[3000] and got[3001].text == text[3001]
+
+
+def test_unrelated_neighbours_are_no_chunk(spark):
+    rows = [(1, "line 0\nuniq a"), (2, "uniq b\nline 12"), (3, "line 0\nline 12\nuniq q"), (4, "uniq r\n\nline 0\n \nline 12\nend"), (5, "a\na\na\na"), (6, "x\na\na\ny")]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "uniq r\n\nend", 5: "a", 6: "x\ny"}
+
+
+def test_long_and_repetitive_texts_end_soon(spark):
+    rows = [(k, "\n".join(f"row {j % 7}" for j in range(60_000))) for k in range(3)] + [(9, "word " * 400_000)]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "\n".join(f"row {j}" for j in range(7)) and got[1] == got[2] == "" and got[9] == rows[3][1]
