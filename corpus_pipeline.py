@@ -39,7 +39,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Passages of lines that an earlier document has go from the texts, and documents of which nothing is left go; n_chars follows."""
     out = rewrite(spark, docs)
     out = out.toDF(*docs.columns, *(x := _free(docs, 3)))
-    out = out.where(~((F.col(x[1]) > 0) & (F.col("text") == "")) | F.col("text").isNull()).drop(*x)
+    out = out.where((F.col(x[1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull()).drop(*x)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length("text").cast(kind))
