@@ -2,9 +2,10 @@
 
 Fuzzy search works on each text's normal form (its words, A-Z lower-cased, joined by one space). A notice that
 may have k edits is split into k + 1 pieces; at least one of them is unchanged, so exact search for
-the pieces finds every candidate place. Around each, the regex library's bounded-error matching decides and
-reports the span and its edits. A word that tells licenses apart (WHOLE) has no edits; they are spent on the rest. Only rows
-with a piece are looked at again.
+the pieces finds every candidate place. In a window of bounded size around each, the regex library's bounded-error matching decides and
+reports the span and its edits. A match begins and ends at word borders, and the words in brackets, which tell licenses
+apart, have no edits; they are spent on the rest. Each place has a window of its own, so no match hides
+another and a text of nothing but candidates takes time in proportion to its length.
 
 Defined results: a null or empty text has no words and no label; labels are distinct and sorted; rows are
 independent, so repeated rows, repeated or null ids and extra columns change nothing; an empty table gives
@@ -13,6 +14,7 @@ an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,21 +29,47 @@ from marlstone.llm import _text as T
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices, their labels and how many edits (of single characters of the normal form) they may have.
+
+
+class Notice(NamedTuple):
+    text: str  # words in brackets stand as they are
+    label: str
+    edits: int  # of single bytes of the normal form
+    unless: str = ""  # words, parted by |, of which none may follow
+
+
+#: Short notices of common licenses.
 NOTICES = (
-    ("released under the mit license", "mit", 3),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    ("licensed under the apache license version 2", "apache-2.0", 4),
-    ("redistribution and use in source and binary forms", "bsd", 5),
-    ("mozilla public license", "mpl", 2),
-    ("gnu general public license", "gpl", 2),
-    ("general public license", "gpl", 2),
-    ("licensed under cc by nc", "cc-by-nc", 2),
-    ("all rights reserved", "reserved", 1),
+    Notice("released under the [mit] license", "mit", 3),
+    Notice("licensed under the [mit] license", "mit", 3),
+    Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
+    Notice("licensed under the apache license version [2]", "apache-2.0", 4),
+    Notice("the apache license version [2]", "apache-2.0", 2),
+    Notice("redistribution and use in source and binary forms", "bsd", 5),
+    Notice("released under the [bsd] license", "bsd", 3),
+    Notice("licensed under the [bsd] license", "bsd", 3),
+    Notice("released under the [isc] license", "isc", 3),
+    Notice("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
+    Notice("mozilla public license", "mpl", 2),
+    Notice("eclipse public license", "epl", 2),
+    Notice("european union public licence", "eupl", 3),
+    Notice("boost software license", "bsl-1.0", 2),
+    Notice("gnu general public license", "gpl", 2),
+    Notice("general public license", "gpl", 2),
+    Notice("gnu [lesser] general public license", "lgpl", 2),
+    Notice("gnu [library] general public license", "lgpl", 2),
+    Notice("gnu [affero] general public license", "agpl", 2),
+    Notice("licensed under cc by [sa]", "cc-by-sa", 2),
+    Notice("licensed under cc by [nd]", "cc-by-nd", 2),
+    Notice("licensed under cc by [nc]", "cc-by-nc", 2, "sa|nd"),
+    Notice("licensed under cc by [nc] [sa]", "cc-by-nc-sa", 2),
+    Notice("licensed under cc by [nc] [nd]", "cc-by-nc-nd", 2),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
+    Notice("dedicated to the public domain", "public-domain", 3),
+    Notice("all rights reserved", "reserved", 1),
 )
-
-#: Words of notices, by their labels, that stand as they are.
-WHOLE = {"mit": "mit", "cc-by-nc": "nc"}
+_SIDE = r"[0-9a-z\x80-\xff]"
+_REMEMBERED = 20_000  # windows
 
 
 class Found(NamedTuple):
@@ -76,31 +104,37 @@ def phrase_starts(w: T.Words, hashes: np.ndarray, phrase: str) -> np.ndarray:
     return at[np.array(same, bool)] if len(at) else at
 
 
-def pattern(notice: str, label: str, edits: int) -> regex.Pattern:
-    """The notice with so many edits, the best match first; around a whole word each side may have them all, and their sum is to be checked."""
-    near = lambda s: f"(?:{regex.escape(s)}){{e<={edits}}}" if s else ""
-    word = WHOLE.get(label)
-    if word is None or word not in notice.split(" "):
-        return regex.compile("(?b)" + near(notice))
-    head, tail = f" {notice} ".split(f" {word} ", 1)
-    side = r"[0-9a-z\x80-\xff]"
-    return regex.compile(f"(?b){near(f'{head.lstrip()} ' if head.strip() else '')}(?<!{side}){word}(?!{side}){near(f' {tail.rstrip()}' if tail.strip() else '')}")
-
-
-def every_match(p: regex.Pattern, text: str) -> Iterator[regex.Match]:
-    """Matches that do not overlap, in order: the best one, and those before and after it."""
-    todo: list = [(0, len(text))]
-    while todo:
-        x = todo.pop()
-        if not isinstance(x, tuple):
-            yield x
-        elif m := p.search(text, *x):
-            todo += [(m.end(), x[1]), m, (x[0], m.start())]
+def pattern(notice: Notice) -> regex.Pattern:
+    """The notice with its edits, the best match first. Beside a bracketed word each part may have all edits; their sum is to be checked."""
+    out = ""
+    for i, part in enumerate(regex.split(r"\[(\w+)\]", notice.text)):
+        if i % 2:
+            out += f"(?<!{_SIDE}){part}(?!{_SIDE})"
+        elif part:
+            out += f"(?:{regex.escape(part)}){{e<={notice.edits}}}" if part != " " else " "
+    return regex.compile(f"(?b)(?<!{_SIDE}){out}(?!{_SIDE})" + (f"(?! (?:{notice.unless})(?!{_SIDE}))" if notice.unless else ""))
 
 
 class Scanner:
-    def __init__(self, notices: tuple[tuple[str, str, int], ...] = NOTICES):
-        self.notices = [(n, label, k, pieces(n, k), pattern(n, label, k)) for n, label, k in notices]
+    def __init__(self, notices: tuple[Notice, ...] = NOTICES):
+        self.notices = []
+        for x in notices:
+            plain = x.text.replace("[", "").replace("]", "")
+            if len(plain) <= 5 * x.edits + 2:  # two matches beside each other must not fit into one window
+                raise ValueError(f"too many edits for its length: {x.text}")
+            self.notices.append((plain, x.label, x.edits, [(at, p.encode()) for at, p in pieces(plain, x.edits)], pattern(x), 0 if not x.unless else 1 + max(map(len, x.unless.split("|")))))
+        self._known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+
+    def _match(self, number: int, before: str, window: str) -> tuple[int, int, int] | None:
+        """Start, end and edits of the best match in a window, remembered as texts repeat themselves."""
+        key = (number, before + window if before else "\n" + window)
+        if key not in self._known:
+            if len(self._known) >= _REMEMBERED:
+                self._known.clear()
+            m = self.notices[number][4].search(before + window, len(before))
+            n = sum(m.fuzzy_counts) if m else 0
+            self._known[key] = (m.start() - len(before), m.end() - len(before), n) if m and n <= self.notices[number][2] else None
+        return self._known[key]
 
     def fuzzy(self, w: T.Words) -> list[Found]:
         """The notices in the rows of a block."""
@@ -109,31 +143,30 @@ class Scanner:
         keep[w.end[w.end < len(keep)]] = True  # the first byte after a word becomes the space
         at = np.flatnonzero(keep)
         text = np.where(inside[at], w.data[at], 0x20).astype(np.uint8).tobytes()
-        rows = np.searchsorted(at, w.rows)
+        rows = np.searchsorted(at, w.rows).tolist()
         found = []
-        for notice, label, edits, parts, near in self.notices:
-            windows: dict[int, list[tuple[int, int]]] = {}
+        for number, (notice, label, edits, parts, _, further) in enumerate(self.notices):
+            places: set[tuple[int, int]] = set()
             for offset, piece in parts:
-                p, i = piece.encode(), -1
-                while (i := text.find(p, i + 1)) >= 0:
-                    row = int(np.searchsorted(rows, i, "right")) - 1
-                    if i + len(p) <= rows[row + 1]:
-                        windows.setdefault(row, []).append((max(rows[row], i - offset - edits - 1), min(rows[row + 1], i - offset + len(notice) + edits + 1)))
-            for row, spans in windows.items():
-                joined: list[list[int]] = []
-                for a, b in sorted(spans):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(b, joined[-1][1])
-                    else:
-                        joined.append([int(a), int(b)])
-                for a, b in joined:
-                    # Latin-1 keeps one character for a byte
-                    for m in every_match(near, text[a:b].decode("latin-1")):
-                        s, e = a + m.start(), a + m.end()
-                        n = sum(m.fuzzy_counts)
-                        if n > edits:
-                            continue
-                        found.append(Found(row, label, int(at[s]), int(at[e - 1]) + 1, n, 1 - n / len(notice)))
+                i = -1
+                while (i := text.find(piece, i + 1)) >= 0:
+                    row = bisect_right(rows, i) - 1
+                    if i + len(piece) <= rows[row + 1]:
+                        places.add((row, i - offset))
+            matches: set[tuple[int, int, int, int]] = set()
+            for row, place in places:
+                a = max(rows[row], place - edits)
+                b = min(rows[row + 1], place + len(notice) + 2 * edits + 1 + further)
+                # Latin-1 keeps one character for a byte
+                if m := self._match(number, text[max(rows[row], a - 1) : a].decode("latin-1"), text[a:b].decode("latin-1")):
+                    matches.add((m[2], row, a + m[0], a + m[1]))
+            taken: list[tuple[int, int]] = []
+            for n, row, s, e in sorted(matches):
+                k = bisect_right(taken, (s, e))
+                if (k and taken[k - 1][1] > s) or (k < len(taken) and taken[k][0] < e):
+                    continue  # a better match of the same notice holds part of it
+                taken.insert(k, (s, e))
+                found.append(Found(row, label, int(at[s]), int(at[e - 1]) + 1, n, 1 - n / len(notice)))
         return found
 
 
