@@ -1,8 +1,9 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
 All of it is DataFrame expressions and Spark's own random forest, which run in the JVM; nothing is shuffled after the
-scan. A text is cut at white space, quotes, brackets and marks, and after colons; a candidate is a piece of at least MIN_LENGTH letters,
-digits and `+/_=.-` that has a digit or changes case often, or one of any length that a key word with `=` or `:` stands before. The forest looks at its length, at the transitions between its
+scan. A text is cut at white space, quotes, brackets and marks, and after colons and equals signs; a candidate is a piece of at least MIN_LENGTH letters,
+digits and `+/_=.-` that has a digit or changes case often, or one of any length that a key word with `=` or `:` stands before; a full stop
+behind it is not part of it, the equals signs that pad base64 are. The forest looks at its length, at the transitions between its
 kinds of characters, at the share of it that a small dictionary covers, at the path of its file and at the
 words beside it. It learns from labelled findings (a bounded table: `labelled_findings` makes one whose labels
 hold by construction; findings from reviews have the same columns).
@@ -25,7 +26,10 @@ MIN_LENGTH = 16
 LABELLED = 6000
 TREES, DEPTH, SEED = 24, 7, 5
 ACCEPT = 0.5
-_CUT = r"[\s\"'`<>(){}\[\],;|*$%&#!?@~^\\]+|(?<=:)"
+#: What pieces are cut at: separators go, a colon or equals sign ends a piece and stays with it.
+_SEPARATORS = " \t\n\x0b\f\r\"'`<>(){}[],;|*$%&#!?@~^\\"
+_SEP = r"\s\"'`<>(){}\[\],;|*$%&#!?@~^\\"
+_PIECE = rf"[{_SEP}]*(?:[^{_SEP}:=]+={{1,2}}(?=[{_SEP}]|$)|[^{_SEP}:=]*[:=]|[^{_SEP}:=]+)"
 _BODY = r"^[A-Za-z0-9+/_=.\-]+$"
 _CHANGES = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 
@@ -40,11 +44,9 @@ DICTIONARY = (
 ).split()
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private|signing)"
 PLAIN_WORDS = r"(?i)(commit|sha|md5|hash|checksum|digest|uuid|guid|id$|etag|revision|build|version|order|card|phone|example|sample|dummy|fake)"
-#: A key word and its sign at a piece's start, with a value behind them.
-_ASSIGNS = rf"^[A-Za-z0-9_.\-]*{KEY_WORDS}[A-Za-z0-9_.\-]*=[^=]"
 QUIET_PATHS = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|vendor|lock)"
 
-FEATURES = ["length", "changes", "digits", "uppers", "lowers", "marks", "distinct", "hexes", "dictionary", "quiet_path", "key_word", "assigned", "plain_word", "known_prefix", "holds_plain"]
+FEATURES = ["length", "changes", "digits", "uppers", "lowers", "marks", "distinct", "hexes", "dictionary", "quiet_path", "key_word", "assigned", "plain_word", "known_prefix", "holds_plain", "url_user"]
 
 
 def features(c: str, before: str, before2: str, path: str) -> list[Column]:
@@ -65,11 +67,12 @@ def features(c: str, before: str, before2: str, path: str) -> list[Column]:
         share("0-9a-fA-F"),
         1 - covered / n,
         flag(F.col(path).rlike(QUIET_PATHS)),
-        flag(near.rlike(KEY_WORDS) | s.rlike(r"^(?i)[a-z_]*(token|secret|key|passw)[a-z_]*=")),
+        flag(near.rlike(KEY_WORDS)),
         flag(F.coalesce(before, F.lit("")).rlike("[=:]$")),
         flag(near.rlike(PLAIN_WORDS)),
         flag(s.rlike(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ)")),
         flag(s.rlike(r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567)")),
+        flag(F.coalesce(before, F.lit("")).rlike("^//[^/]+:$")),
     ]
 
 
@@ -93,7 +96,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
         (F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), F.lit("="), pick("k", [*keys, *common]), 1),
         (F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), pick("k", ["=", "bearer", "Bearer", "is"]), pick("c", [*keys, *common]), 1),
         (F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)), F.lit("="), pick("k", keys), 1),
-        (F.concat(pick("k", ["token=", "api_key=", "password=", "secret="]), F.substring(alnum, 1, 24)), pick("c", common), pick("c2", common), 1),
+        (F.substring(alnum, 1, 24), pick("k", ["token=", "api_key=", "password=", "secret="]), pick("c", common), 1),
         (F.substring(h("x"), 1, 40), pick("p", plain), pick("c", common), 0),
         (F.concat_ws("-", F.substring(h("x"), 1, 8), F.substring(h("x"), 9, 4), F.substring(h("x"), 13, 4), F.substring(h("x"), 17, 4), F.substring(h("x"), 21, 12)), pick("p", ["id", "uuid", "=", "of"]), pick("c", ["uuid", *common]), 0),
         (F.substring(digits, 1, 16), pick("c", common), pick("c2", common), 0),
@@ -102,7 +105,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
         (F.concat_ws("/", pick("w1", DICTIONARY), pick("w2", DICTIONARY), pick("w3", DICTIONARY), F.concat(pick("w4", DICTIONARY), F.substring(digits, 1, 1), F.lit(".html"))), pick("c", ["=", *common]), pick("c2", common), 0),
         (F.concat(pick("e", ["your_token_here_", "example_secret_", "changeme_placeholder_", "xxxxxxxxxxxxxxxx"]), F.substring(digits, 1, 3)), F.lit("="), pick("k", keys), 0),
         (F.concat_ws(".", pick("w1", DICTIONARY), F.concat(pick("w2", DICTIONARY), F.substring(digits, 1, 2)), F.lit("mail"), F.lit("example.com")), pick("c", common), pick("c2", common), 0),
-        (F.substring(alnum, 1, 20), F.concat(F.lit("//"), pick("c", ["user", "admin", "root", "deploy", "git"]), F.lit(":")), F.lit("https:"), 1),
+        (F.when(i % 44 < 22, F.substring(alnum, 1, 20)).otherwise(F.substring(h("x"), 1, 40)), F.concat(F.lit("//"), pick("c", ["user", "admin", "root", "deploy", "git"]), F.lit(":")), pick("p", ["https:", "postgres:", "redis:", "amqp:"]), 1),
         (F.substring(alnum, 1, 10), pick("e", ["=", ":"]), pick("k", keys), 1),
         (F.substring(h("x"), 1, 12), F.concat(pick("k", keys), pick("e", ["=", ":"])), pick("c", common), 1),
         (F.concat(pick("w1", DICTIONARY), pick("w2", DICTIONARY)), pick("e", ["=", ":"]), pick("k", keys), 0),
@@ -124,28 +127,38 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, word, candidate, before2, before, first_char): word counts the pieces of the text from 0."""
-    def fits(s: Column, before: Column, before2: Column) -> Column:
+
+    def fits(s: Column, before: Column, before2: Column, after: Column) -> Column:
         near = F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")))
-        keyed = (F.coalesce(before, F.lit("")).rlike("[=:]$") & near.rlike(KEY_WORDS)) | s.rlike(_ASSIGNS)
-        return s.rlike(_BODY) & s.rlike("[A-Za-z0-9]") & (((F.length(s) >= MIN_LENGTH) & (s.rlike("[0-9]") | (F.regexp_count(s, F.lit(_CHANGES)) >= 4))) | keyed)
+        keyed = F.coalesce(before, F.lit("")).rlike("[=:]$") & near.rlike(KEY_WORDS)
+        whole = ~s.endswith("=") | after.isNull() | (F.length(F.ltrim(after, F.lit(_SEPARATORS))) < F.length(after))
+        return whole & s.rlike(_BODY) & s.rlike("[A-Za-z0-9]") & (((F.length(s) >= MIN_LENGTH) & (s.rlike("[0-9]") | (F.regexp_count(s, F.lit(_CHANGES)) >= 4))) | keyed)
 
     def bare(w: Column, k: Column) -> Column:
-        return F.rtrim(F.get(w, k), F.lit(":"))
+        return F.rtrim(F.get(w, k), F.lit(":."))
+
+    def found(t: Column, w: Column) -> Column:
+        """t has the pieces with the separators before them, so their lengths add up to places in the text; w has them without."""
+        fit = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda k: fits(bare(w, k), F.get(w, k - 1), F.get(w, k - 2), F.get(t, k + 1)))
+        return F.flatten(F.transform(F.array(fit), lambda at: placed(t, w, at)))
 
-    def found(w: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda k: fits(bare(w, k), F.get(w, k - 1), F.get(w, k - 2)))
-        return F.transform(places, lambda k: F.struct(k.alias("word"), bare(w, k).alias("candidate"), F.get(w, k - 2).alias("before2"), F.get(w, k - 1).alias("before")))
+    def placed(t: Column, w: Column, at: Column) -> Column:
+        # characters between a candidate and the one before it, then their running sum
+        step = F.transform(at, lambda k, i: F.length(F.array_join(F.slice(t, F.coalesce(F.get(at, i - 1), F.lit(-1)) + 2, k - F.coalesce(F.get(at, i - 1), F.lit(-1))), "")))
+        ends = F.aggregate(step, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+        return F.zip_with(at, F.slice(ends, 2, F.size(at)), lambda k, end: F.struct(k.alias("word"), bare(w, k).alias("candidate"), F.get(w, k - 2).alias("before2"), F.get(w, k - 1).alias("before"), (end - F.length(F.get(w, k))).alias("first_char")))
 
     # the pieces are a lambda's argument, so the text is cut once and not again for each of them
-    every = F.flatten(F.transform(F.array(F.split("text", _CUT)), found))
-    rows = docs.select("doc_id", "path", "text", F.explode(every).alias("x"))
-    return rows.select("doc_id", "path", "x.*", (F.expr("instr(text, x.candidate)") - 1).alias("first_char"))
+    cut = F.array(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0)))
+    every = F.flatten(F.flatten(F.transform(cut, lambda t: F.transform(F.array(F.transform(t, lambda p: F.ltrim(p, F.lit(_SEPARATORS)))), lambda w: found(t, w)))))
+    rows = docs.select("doc_id", "path", F.explode(every).alias("x"))
+    return rows.select("doc_id", "path", "x.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, path: str | None = None, findings: DataFrame | None = None) -> DataFrame:
     """Accepted findings in docs (doc_id, text and a path column): (doc_id, word, first_char, length, sha256, probability).
 
-    The secret itself is not returned, only its digest and where its text first stands.
+    The secret itself is not returned, only its digest and its place in the text; each place is a row of its own.
     """
     model = train(findings if findings is not None else labelled_findings(spark))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path") if path else F.lit("").alias("path"), "text")
