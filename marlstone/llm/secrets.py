@@ -29,7 +29,7 @@ ACCEPT = 0.5
 #: What pieces are cut at: separators go, a colon or equals sign ends a piece and stays with it.
 _SEPARATORS = " \t\n\x0b\f\r\"'`<>(){}[],;|*$%&#!?@~^\\"
 _SEP = r"\s\"'`<>(){}\[\],;|*$%&#!?@~^\\"
-_PIECE = rf"[{_SEP}]*(?:[^{_SEP}:=]+={{1,2}}(?=[{_SEP}]|$)|[^{_SEP}:=]*[:=]|[^{_SEP}:=]+)"
+_PIECE = rf"[{_SEP}]*+(?:[^{_SEP}:=]++(?:={{1,2}}(?=[{_SEP}]|\z)|[:=])?|[:=])"
 _BODY = r"^[A-Za-z0-9+/_=.\-]+$"
 _CHANGES = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 
@@ -128,29 +128,36 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, word, candidate, before2, before, first_char): word counts the pieces of the text from 0."""
 
-    def fits(s: Column, before: Column, before2: Column, after: Column) -> Column:
-        near = F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")))
-        keyed = F.coalesce(before, F.lit("")).rlike("[=:]$") & near.rlike(KEY_WORDS)
-        whole = ~s.endswith("=") | after.isNull() | (F.length(F.ltrim(after, F.lit(_SEPARATORS))) < F.length(after))
-        return whole & s.rlike(_BODY) & s.rlike("[A-Za-z0-9]") & (((F.length(s) >= MIN_LENGTH) & (s.rlike("[0-9]") | (F.regexp_count(s, F.lit(_CHANGES)) >= 4))) | keyed)
+    def piece(t: Column, k: Column) -> Column:
+        """Without the separators before it."""
+        return F.ltrim(F.get(t, k), F.lit(_SEPARATORS))
+
+    def bare(t: Column, k: Column) -> Column:
+        return F.rtrim(piece(t, k), F.lit(":."))
 
-    def bare(w: Column, k: Column) -> Column:
-        return F.rtrim(F.get(w, k), F.lit(":."))
+    def fits(t: Column, k: Column) -> Column:
+        s, after = bare(t, k), F.get(t, k + 1)
+        near = F.concat_ws(" ", F.coalesce(piece(t, k - 2), F.lit("")), F.coalesce(piece(t, k - 1), F.lit("")))
+        assigned = F.coalesce(F.get(t, k - 1).endswith("=") | F.get(t, k - 1).endswith(":"), F.lit(False))
+        whole = ~s.endswith("=") | after.isNull() | (F.length(F.ltrim(after, F.lit(_SEPARATORS))) < F.length(after))
+        shaped = (F.length(s) >= MIN_LENGTH) & (s.rlike("[0-9]") | (F.regexp_count(s, F.lit(_CHANGES)) >= 4))
+        # the cheap test first: most pieces are short words
+        return ((F.length(F.get(t, k)) >= MIN_LENGTH) | assigned) & whole & s.rlike(_BODY) & s.rlike("[A-Za-z0-9]") & (shaped | (assigned & near.rlike(KEY_WORDS)))
 
-    def found(t: Column, w: Column) -> Column:
-        """t has the pieces with the separators before them, so their lengths add up to places in the text; w has them without."""
-        fit = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda k: fits(bare(w, k), F.get(w, k - 1), F.get(w, k - 2), F.get(t, k + 1)))
-        return F.flatten(F.transform(F.array(fit), lambda at: placed(t, w, at)))
+    def found(t: Column) -> Column:
+        """t has the pieces with the separators before them, so their lengths add up to places in the text."""
+        fit = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: fits(t, k))
+        return F.flatten(F.transform(F.array(fit), lambda at: placed(t, at)))
 
-    def placed(t: Column, w: Column, at: Column) -> Column:
+    def placed(t: Column, at: Column) -> Column:
         # characters between a candidate and the one before it, then their running sum
         step = F.transform(at, lambda k, i: F.length(F.array_join(F.slice(t, F.coalesce(F.get(at, i - 1), F.lit(-1)) + 2, k - F.coalesce(F.get(at, i - 1), F.lit(-1))), "")))
         ends = F.aggregate(step, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
-        return F.zip_with(at, F.slice(ends, 2, F.size(at)), lambda k, end: F.struct(k.alias("word"), bare(w, k).alias("candidate"), F.get(w, k - 2).alias("before2"), F.get(w, k - 1).alias("before"), (end - F.length(F.get(w, k))).alias("first_char")))
+        return F.zip_with(at, F.slice(ends, 2, F.size(at)), lambda k, end: F.struct(k.alias("word"), bare(t, k).alias("candidate"), piece(t, k - 2).alias("before2"), piece(t, k - 1).alias("before"), (end - F.length(piece(t, k))).alias("first_char")))
 
     # the pieces are a lambda's argument, so the text is cut once and not again for each of them
-    cut = F.array(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0)))
-    every = F.flatten(F.flatten(F.transform(cut, lambda t: F.transform(F.array(F.transform(t, lambda p: F.ltrim(p, F.lit(_SEPARATORS)))), lambda w: found(t, w)))))
+    cut = F.array(F.regexp_extract_all(F.rtrim("text", F.lit(_SEPARATORS)), F.lit(_PIECE), F.lit(0)))
+    every = F.flatten(F.transform(cut, found))
     rows = docs.select("doc_id", "path", F.explode(every).alias("x"))
     return rows.select("doc_id", "path", "x.*")
 
