@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Benchmark items are a stated query set: they are taken in blocks of at most BLOCK_BYTES of text, each block's
-index is broadcast, and all documents run against it in a map without a shuffle. Runs of MIN_MATCH
-words that a document shares with an item are the seeds. For each document and item with a seed, running
+Benchmark items are a stated query set: they are taken in blocks of about BLOCK_BYTES of text (dealt by hash; an item is never
+cut), each block's words are broadcast, and all documents run against it in a map without a shuffle. Runs of MIN_MATCH
+words that a document shares with an item are the seeds, met by a sorted merge of their hashes. For each document and item with a seed, running
 Karp-Rabin finds the longest common runs of words not yet covered, marks them, and goes on with shorter
-ones down to MIN_MATCH words. Tiles may stand in any order, so reordered passages count. An item is
+ones down to MIN_MATCH words. Hashes of runs of any length come from those of powers of two, and the longest common length
+from a binary search, so repetitive texts take no longer than others. Tiles may stand in any order, so reordered passages count. An item is
 contained where its tiles cover THRESHOLD of its words or more.
 
 Words are runs of letters and digits, A-Z lower-cased, so other marks and line ends do not matter. An item of fewer
@@ -17,7 +18,7 @@ once; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,90 +30,115 @@ from marlstone.llm import _text as T
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 _SCHEMA = "doc_id long, item_id long, n_words long, covered_words long, n_tiles long, coverage double"
 
 
-def _open_grams(words: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs of `size` words without a marked one."""
-    g = T.grams(words, size)
-    busy = np.concatenate(([0], np.cumsum(marked)))
-    at = np.flatnonzero(busy[size:] == busy[: len(g)]) if len(g) else np.zeros(0, np.int64)
-    return at, g[at]
+_INDEXES: dict[str, Index] = {}
+
+
+class Runs:
+    """Hashes of a word sequence's runs of any length, each from two runs of a power of two."""
+
+    def __init__(self, words: np.ndarray):
+        self.levels, self.marked = [words], np.zeros(len(words), bool)
+
+    def __len__(self) -> int:
+        return len(self.marked)
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs of `size` words of which none is marked. Marked stretches are at least as long."""
+        at = np.arange(len(self) - size + 1)
+        at = at[~(self.marked[at] | self.marked[at + size - 1])]
+        k = size.bit_length() - 1
+        while len(self.levels) <= k:
+            low, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(T.mix(low[:-step] * np.uint64(0x9FB21C651E98DF25) + low[step:]))
+        low, rest = self.levels[k], size - (1 << k)
+        return at, low[at] if not rest else T.mix(low[at] * np.uint64(0xA0761D6478BD642F) + low[at + rest])
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """(place in item, place in doc, words) of the greedy tiling of two word sequences."""
+    """(place in item, place in doc, words) of the greedy tiling of two word sequences: longest first, ties by their places."""
     least = max(1, min(least, len(item)))
-    marks = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    out, size = [], max(least, min(len(item), len(doc)) // 2)
-    while True:
-        at, g = _open_grams(item, marks[0], size)
-        there, h = _open_grams(doc, marks[1], size)
-        common = np.isin(h, g)
-        by_hash: dict[int, list[int]] = defaultdict(list)
-        for j, x in zip(there[common].tolist(), h[common].tolist(), strict=True):
-            by_hash[x].append(j)
-        found: list[tuple[int, int, int]] = []
-        for i, x in zip(at.tolist(), g.tolist(), strict=True):
-            for j in by_hash.get(x, ()):
-                if i and j and item[i - 1] == doc[j - 1] and not marks[0][i - 1] and not marks[1][j - 1]:
-                    continue  # the run that begins before it holds it
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not marks[0][i + n] and not marks[1][j + n]:
-                    n += 1
-                if n >= size:
-                    found.append((n, i, j))
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * size:
-            size = longest
-            continue
-        again = False
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if marks[0][i : i + n].any() or marks[1][j : j + n].any():
-                again = True  # part of it may still be free
-                continue
-            marks[0][i : i + n] = marks[1][j : j + n] = True
-            out.append((i, j, n))
-        if again:
-            continue
-        if size == least:
+    a, b, out = Runs(item), Runs(doc), []
+    high = min(len(item), len(doc))
+    while high >= least:
+        low, found = least - 1, None  # a run of `low` words is common, and none longer than `high`
+        size, grow = least, True
+        while low < high:
+            (i, g), (j, h) = a.free(size), b.free(size)
+            common = np.intersect1d(g, h)
+            if len(common):
+                low, found = size, (size, i, g, j, h, common)
+            else:
+                high, grow = size - 1, False
+            size = min(high, 2 * low) if grow else (low + high + 1) // 2
+        if found is None:
             return out
-        size = max(least, size // 2)
+        size, i, g, j, h, common = found
+        there = np.isin(h, common)
+        j, h = j[there], h[there]
+        order = np.argsort(h, kind="stable")
+        j, h = j[order].tolist(), h[order]
+        here = np.isin(g, common)
+        begin = dict(zip(common.tolist(), np.searchsorted(h, common).tolist(), strict=True))
+        end = dict(zip(common.tolist(), np.searchsorted(h, common, "right").tolist(), strict=True))
+        for x, key in zip(i[here].tolist(), g[here].tolist(), strict=True):
+            if a.marked[x] or a.marked[x + size - 1]:
+                continue
+            k = begin[key]
+            while k < end[key] and (b.marked[j[k]] or b.marked[j[k] + size - 1]):
+                k += 1  # what is marked stays so
+            begin[key] = k
+            if k < end[key]:
+                a.marked[x : x + size] = b.marked[j[k] : j[k] + size] = True
+                out.append((x, j[k], size))
+        high = size - 1
+    return out
 
 
 class Index:
-    """The items of a block by their seeds."""
+    """The items of a block by their seeds: sorted hashes beside the items' numbers."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.items: list[tuple[int | None, np.ndarray]] = []
-        seeds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item_id, text in items:
-            data = np.frombuffer(text.encode(), np.uint8)
-            h = T.word_hashes(T.words(data, np.array([0, len(data)]), T.ALNUM))
-            if len(h):
-                size = min(MIN_MATCH, len(h))
-                for g in T.grams(h, size).tolist():
-                    seeds[size][g].add(len(self.items))
-                self.items.append((item_id, h))
-        self.seeds = {size: (np.array(sorted(of), np.uint64), of) for size, of in seeds.items()}
-        self.maybe = {}
-        for size, (keys, _) in self.seeds.items():
-            self.maybe[size] = np.zeros(1 << 20, bool)
-            self.maybe[size][(keys >> np.uint64(44)).astype(np.int64)] = True
+        texts = [text.encode() for _, text in items]
+        rows = np.cumsum([0, *map(len, texts)])
+        w = T.words(np.frombuffer(b"".join(texts), np.uint8), rows, T.ALNUM)
+        h = T.word_hashes(w)
+        self.items = [(item_id, h[a:b]) for (item_id, _), a, b in zip(items, w.first[:-1], w.first[1:], strict=True)]
+        counts = np.diff(w.first)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
+        for size in sorted({min(MIN_MATCH, int(n)) for n in counts if n}):
+            of = np.flatnonzero((counts >= size) if size == MIN_MATCH else (counts == size))
+            g = T.grams(h, size)
+            at = np.concatenate([np.arange(w.first[k], w.first[k + 1] - size + 1) for k in of])
+            item = np.repeat(of, counts[of] - size + 1)
+            order = np.lexsort((item, g[at]))
+            keys = g[at][order]
+            bits = max(20, 4 + len(keys).bit_length())
+            maybe = np.zeros(1 << bits, bool)
+            maybe[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.seeds[size] = keys, item[order], maybe, np.uint64(64 - bits)
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         """(row, item) that share a seed."""
-        pairs: set[tuple[int, int]] = set()
-        for size, (keys, of) in self.seeds.items():
+        pairs = [np.zeros(0, np.int64)]
+        for size, (keys, items, maybe, shift) in self.seeds.items():
             g = T.grams(h, size)
-            at = np.flatnonzero(self.maybe[size][(g >> np.uint64(44)).astype(np.int64)])
-            at = at[np.isin(g[at], keys)]
+            at = np.flatnonzero(maybe[(g >> shift).astype(np.int64)])
+            at = at[np.searchsorted(keys, g[at]) < np.searchsorted(keys, g[at], "right")]
             row = np.searchsorted(first, at, "right") - 1
-            whole = at + size <= first[row + 1]
-            for r, x in zip(row[whole].tolist(), g[at[whole]].tolist(), strict=True):
-                pairs.update((r, k) for k in of[x])
-        yield from sorted(pairs)
+            inside = at + size <= first[row + 1]
+            at, row = at[inside], row[inside]
+            # each seed of a row once, then the items that have it
+            one = np.unique(np.stack((row.astype(np.uint64), g[at])), axis=1)
+            lo, hi = np.searchsorted(keys, one[1]), np.searchsorted(keys, one[1], "right")
+            n = hi - lo
+            where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pairs.append(np.repeat(one[0].astype(np.int64), n) * len(self.items) + items[where])
+        for p in np.unique(np.concatenate(pairs)).tolist():
+            yield divmod(p, len(self.items))
 
     def contained(self, data: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[int, int | None, int, int, int, float]]:
         """(row, item id, its words, those covered, tiles, coverage) for a block of texts."""
@@ -126,8 +152,16 @@ class Index:
                 yield r, item_id, len(item), covered, len(made), covered / len(item)
 
 
+def _index(block: tuple[str, list[tuple[int | None, str]]]) -> Index:
+    """A worker keeps the index of the block that it saw last."""
+    if block[0] not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[block[0]] = Index(block[1])
+    return _INDEXES[block[0]]
+
+
 def _items(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size, whatever the size of the benchmark."""
+    """The items in blocks of about BLOCK_BYTES, whatever the size of the benchmark."""
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and text <> ''").distinct()
     total = known.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
@@ -140,10 +174,10 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshol
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _items(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = _index(shared.value)
             for batch in batches:
                 ids = batch.column(0)
                 for i, _, data, rows in T.blocks(batch.column(1)):
@@ -160,10 +194,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     """The rows of docs that contain no item of the benchmark, with all their columns; a map, so nothing is shuffled."""
     at, schema = docs.columns.index("text"), docs.schema
     for items in _items(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = _index(shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for i, _, data, rows in T.blocks(batch.column(at)):
