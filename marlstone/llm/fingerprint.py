@@ -28,6 +28,7 @@ from marlstone.llm import _text as T
 K_WORDS = 5
 BINS = 512
 BITS = 4
+RANGE_BYTES = 32 << 20  # of text in a range of documents, on average
 _PROBES: list[np.ndarray] = []
 
 
@@ -149,18 +150,20 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Documents are dealt into ranges of ids whose borders are ids of documents; the first document of each
     range goes to the range before it too (that of the first range to the last), so each range is
-    walked in one task of bounded size and no global order is needed.
+    walked in one task and no global order is needed. The number of ranges grows with the texts, one for RANGE_BYTES, so
+    tasks do not; rows go to the task of their range's number, so ranges do not meet in one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts), F.count(F.lit(1)), F.count("doc_id")).head()
-    borders = sorted({x for x in cuts[1] or [] if x > cuts[0]})
+    size = docs.agg(F.min("doc_id"), F.count(F.lit(1)), F.count("doc_id"), F.sum(F.octet_length("text"))).head()
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[3] or 0) // RANGE_BYTES))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).head()[0]
+    borders = sorted({x for x in cuts or [] if x > size[0]})
     first = F.col("doc_id").isin(*borders) if borders else F.lit(False)
     #: The first row of all follows the last one.
-    top = docs.where("doc_id is null" if cuts[3] < cuts[2] else F.col("doc_id") == cuts[0]).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    top = docs.where("doc_id is null" if size[2] < size[1] else F.col("doc_id") == size[0]).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     own = _ranged(docs, borders).select("part", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     start = own.where(first).groupBy("doc_id").agg(F.min("part").alias("part"), F.min("text").alias("text"))
     extra = start.select((F.col("part") - 1).alias("part"), "doc_id", "text").unionByName(top.select(F.lit(len(borders)).alias("part"), "doc_id", "text"))
     rows = own.select("part", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extra.select("part", F.lit(True).alias("extra"), "doc_id", "text"))
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "extra", "doc_id", "text")
+    rows = rows.repartitionById(len(borders) + 1, "part").sortWithinPartitions("part", "extra", "doc_id", "text")
     return rows.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
