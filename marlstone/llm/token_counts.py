@@ -1,10 +1,11 @@
 """Edit-aware token counts.
 
-A document's pre-tokens stand in slots; a segment tree over the slots holds the characters and tokens below each
+A document's pre-tokens stand in slots, each with its part of the text; a segment tree over the slots holds the characters and tokens below each
 node. An edit finds its slot by descending along the character sums, reads pre-tokens again from a little
-before the edit (CONTEXT characters, which is as far as the pattern and the special tokens look ahead) until a
+before the edit (`context` characters: as far as the pattern looks ahead, or the vocabulary's longest special token) until a
 border falls on an old one, encodes just those pieces, and updates the sums on the slots' paths to the root.
-So an edit costs its own length and the tree's height, not the document's length.
+So an edit costs its own length, the slots it touches and the tree's height, not the document's length. Only when edits have put
+FULL pre-tokens into one slot is the tree built again, from the counts it has.
 
 Edits of a document apply in their order, each to the text that the former left; `at` and `remove` count
 code points and are cut to the text. Defined results: a null text is empty, a null insert inserts nothing, null
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.bpe import BPE, load, model_bytes
 
-CONTEXT = 16
+LOOKAHEAD = 4  # characters beyond a pre-token that the pattern may look at, rounded up
 SLOT = 64  # pre-tokens in a slot when a tree is built
 FULL = 16 * SLOT  # a slot with more makes its tree be built again
 
@@ -31,7 +32,8 @@ class CountTree:
     """Token counts of one text under edits."""
 
     def __init__(self, model: BPE, text: str):
-        self.model, self.text, self.encoded = model, text, 0
+        self.model, self.encoded = model, 0
+        self.context = max([LOOKAHEAD, *map(len, model.special)])
         pieces: list[tuple[int, int]] = []
         for part in model.splitter.split(text) if model.splitter else [text]:
             if part in model.special:
@@ -39,30 +41,33 @@ class CountTree:
             else:
                 found = model.pattern.findall(part)
                 pieces += zip(map(len, found), map(len, map(model.__getitem__, found)), strict=True)
-        self._build(pieces)
+        self._build(pieces, text)
 
-    def _count(self, a: int, b: int) -> int:
-        piece = self.text[a:b]
+    @property
+    def text(self) -> str:
+        return "".join(self.texts)
+
+    @property
+    def length(self) -> int:
+        return self.chars[1]
+
+    @property
+    def total(self) -> int:
+        return self.tokens[1]
+
+    def _count(self, piece: str) -> int:
         return 1 if piece in self.model.special else len(self.model[piece])
 
-    def _pieces(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        """Spans of the pre-tokens from a border on; a special token is one by itself."""
-        while at < len(text):
-            m = self.model.splitter.search(text, at) if self.model.splitter else None
-            stop = m.start() if m else len(text)
-            for p in self.model.pattern.finditer(text, at, stop):
-                yield p.span()
-            if m is None:
-                return
-            yield m.span()
-            at = m.end()
-
-    def _build(self, pieces: list[tuple[int, int]]) -> None:
+    def _build(self, pieces: list[tuple[int, int]], text: str) -> None:
         self.slots = [pieces[i : i + SLOT] for i in range(0, len(pieces), SLOT)] or [[]]
         self.size = 1 << (len(self.slots) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
+        self.chars, self.tokens, self.texts = [0] * (2 * self.size), [0] * (2 * self.size), []
+        at = 0
         for k, slot in enumerate(self.slots):
-            self.chars[self.size + k], self.tokens[self.size + k] = sum(c for c, _ in slot), sum(t for _, t in slot)
+            n = sum(c for c, _ in slot)
+            self.texts.append(text[at : at + n])
+            at += n
+            self.chars[self.size + k], self.tokens[self.size + k] = n, sum(t for _, t in slot)
         for k in range(self.size - 1, 0, -1):
             self._sum(k)
 
@@ -70,10 +75,10 @@ class CountTree:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
-    def _set(self, slot: int, pieces: list[tuple[int, int]]) -> None:
-        self.slots[slot] = pieces
+    def _set(self, slot: int, pieces: list[tuple[int, int]], text: str) -> None:
+        self.slots[slot], self.texts[slot] = pieces, text
         k = self.size + slot
-        self.chars[k], self.tokens[k] = sum(c for c, _ in pieces), sum(t for _, t in pieces)
+        self.chars[k], self.tokens[k] = len(text), sum(t for _, t in pieces)
         while k := k // 2:
             self._sum(k)
 
@@ -87,52 +92,71 @@ class CountTree:
                 k += 1
         return k - self.size, begin
 
-    @property
-    def total(self) -> int:
-        return self.tokens[1]
+    def _next(self, text: str, at: int, special: list[int]) -> int:
+        """The end of the pre-token that starts at a place; `special` is the next special token's span, kept between calls."""
+        if self.model.splitter and special[1] <= at < special[2]:
+            m = self.model.splitter.search(text, at)
+            special[:2] = m.span() if m else (len(text), len(text))
+        if at == special[0] < special[1]:
+            return special[1]
+        return self.model.pattern.match(text, at, special[0]).end()
 
     def edit(self, at: int, remove: int, insert: str) -> None:
-        at = min(max(0, at), len(self.text))
-        remove = min(max(0, remove), len(self.text) - at)
+        at = min(max(0, at), self.length)
+        remove = min(max(0, remove), self.length - at)
         if not remove and not insert:
             return
-        slot, begin = self._find(max(0, at - CONTEXT))
-        kept, start = [], begin
+        slot, begin = self._find(max(0, at - self.context))
+        kept, start = [], 0  # places count from the slot's start from here on
+        at -= begin
         for piece in self.slots[slot]:
-            if start + piece[0] + CONTEXT > at:
+            if start + piece[0] + self.context > at:
                 break
             kept.append(piece)
             start += piece[0]
-        self.text = self.text[:at] + insert + self.text[at + remove :]
-        shift = len(insert) - remove
-        fresh, last = [], slot
-        index, border = 0, begin  # the old piece that starts at border
-        new = start
-        spans = self._pieces(self.text, start)
+        last, parts, old = slot, [self.texts[slot]], list(self.slots[slot])
+        n = len(parts[0])
+        while n < at + remove + self.context and last + 1 < len(self.slots):
+            last += 1
+            parts.append(self.texts[last])
+            old += self.slots[last]
+            n += len(parts[-1])
+        was = "".join(parts)
+        text = was[:at] + insert + was[at + remove :]
+        shift, fresh = len(insert) - remove, []
+        index, border, new = len(kept), start, start  # the old piece that starts at border; the end of the fresh ones
+        special = [0, 0, len(text) + 1]  # span of the next special token, and up to where it was looked for
+        special[:2] = (len(text), len(text)) if not self.model.splitter else (start, start)
         while True:
-            # old borders up to the new one
-            while True:
-                while index >= len(self.slots[last]) and last + 1 < len(self.slots):
-                    last, index = last + 1, 0
-                if border + shift >= new or index >= len(self.slots[last]):
-                    break
-                border += self.slots[last][index][0]
+            while border + shift < new and index < len(old):
+                border += old[index][0]
                 index += 1
             if new >= at + len(insert) and border >= at + remove and border + shift == new:
                 break
-            span = next(spans, None)
-            if span is None:
-                index = len(self.slots[last])
+            if new == len(text) and last + 1 == len(self.slots):
                 break
-            fresh.append((span[1] - span[0], self._count(*span)))
-            self.encoded += span[1] - span[0]
-            new = span[1]
-        tail = self.slots[last][index:]
+            end = self._next(text, new, special) if new < len(text) else new
+            if end + self.context > len(text) and last + 1 < len(self.slots):
+                # what follows may change this piece: take in the next slots, twice as much as there is
+                goal = 2 * len(text) + self.context
+                parts = [text]
+                n = len(text)
+                while n < goal and last + 1 < len(self.slots):
+                    last += 1
+                    parts.append(self.texts[last])
+                    old += self.slots[last]
+                    n += len(parts[-1])
+                text = "".join(parts)
+                special = [len(text), len(text), len(text) + 1] if not self.model.splitter else [new, new, len(text) + 1]
+                continue
+            fresh.append((end - new, self._count(text[new:end])))
+            self.encoded += end - new
+            new = end
         for k in range(slot + 1, last + 1):
-            self._set(k, [])
-        self._set(slot, kept + fresh + tail)
+            self._set(k, [], "")
+        self._set(slot, kept + fresh + old[index:], text)
         if len(self.slots[slot]) > FULL:
-            self._build([p for s in self.slots for p in s])
+            self._build([p for s in self.slots for p in s], self.text)
 
 
 def edit_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
@@ -150,11 +174,11 @@ def edit_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
             out = []
             for text, edits in zip(batch.column(1), batch.column(2), strict=True):
                 tree = CountTree(model, text.as_py() or "")
-                n, before, edits = len(tree.text), tree.total, edits.as_py() or []
+                n, before, edits = tree.length, tree.total, edits.as_py() or []
                 for e in edits:
                     if e:
                         tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
-                out.append((n, before, len(edits), len(tree.text), tree.total, tree.encoded))
+                out.append((n, before, len(edits), tree.length, tree.total, tree.encoded))
             cols = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names)
 

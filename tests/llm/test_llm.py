@@ -378,7 +378,30 @@ def test_token_counts_after_edits(spark, docs):
             a = min(at, len(t))
             t = t[:a] + new + t[a + min(cut, len(t) - a) :]
             tree.edit(at, cut, new)
-            assert (tree.text, tree.total) == (t, count(t))
+            assert (tree.text, tree.total, tree.length) == (t, count(t), len(t))
+
+
+def test_an_edit_costs_its_own_length_and_sees_whole_special_tokens(tmp_path):
+    import json
+    import time
+
+    spans = []
+    model = bpe.load(bpe.model_bytes(PATH))
+    for n in (20_000, 400_000):
+        tree = token_counts.CountTree(model, "some words of it, and more. " * (n // 28))
+        began = time.perf_counter()
+        for k in range(400):
+            tree.edit(k * 37 % n, 3, "new ")
+        spans.append(time.perf_counter() - began)
+    assert spans[1] < 4 * spans[0] + 0.05
+    j = json.loads(bpe.model_bytes(PATH))
+    j["added_tokens"] = [*j["added_tokens"], {"id": 60000, "content": "<|a special token of some length|>"}]
+    long = bpe.BPE(json.dumps(j).encode())
+    count = lambda t: sum(len(r) for r in long.runs(t))
+    tree = token_counts.CountTree(long, "x y <|a special token of some lengt|> z " * 3)
+    assert tree.total == count(tree.text)
+    tree.edit(tree.text.index("|> z"), 0, "h")
+    assert tree.total == count(tree.text) and "length|>" in tree.text
 
 
 def test_quality(spark, docs):
