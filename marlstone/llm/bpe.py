@@ -7,7 +7,8 @@ their border. A token is emitted once no later byte can change it: when the back
 positions, as many as the longest token has bytes, have all met in its end. `lookahead` bounds how far that
 may lag: a later byte changes tokens leftwards only along a chain of merges in which each next one ends in
 what the former begins with and stands later in the list; the longest such chain in bytes, found by
-one pass over the list, is sufficient. So memory is constant for pieces of any length.
+one pass over the list, is sufficient. So memory beside the text is constant for pieces of any length: those of more than
+LONG characters are fed in parts and their ids come in bounded lists; shorter ones are remembered whole.
 
 Decoding is a state machine from token bytes to text that holds back an incomplete character.
 
@@ -21,7 +22,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 import regex
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the tokenizer format: its pre-token pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 CACHE = 400_000  # pieces whose tokens a worker remembers
-PIECES = 1 << 16  # pieces of a text that are in hand at once
+PIECES = 1 << 16  # pieces of a text, or ids of a long piece, that are in hand at once
+LONG = 4096
 _MODELS: dict[str, BPE] = {}
 
 
@@ -214,10 +216,19 @@ class BPE(dict):
         for part in self.splitter.split(text) if self.splitter else [text]:
             if part in self.special:
                 yield [self.special[part]]
-            elif part:
+            elif len(part) <= LONG:
+                if part:
+                    yield list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(part))))
+            else:
                 found = (m[0] for m in self.pattern.finditer(part)) if len(part) > PIECES else iter(self.pattern.findall(part))
                 while some := list(islice(found, PIECES)):
-                    yield list(chain.from_iterable(map(self.__getitem__, some)))
+                    for long, group in groupby(some, lambda p: len(p) > LONG):
+                        if not long:
+                            yield list(chain.from_iterable(map(self.__getitem__, group)))
+                        for piece in group if long else ():
+                            ids = self.tokens(piece[i : i + LONG].encode() for i in range(0, len(piece), LONG))
+                            while few := list(islice(ids, PIECES)):
+                                yield few
 
     def decoder(self) -> Decoder:
         return Decoder(self)

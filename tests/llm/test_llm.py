@@ -143,9 +143,8 @@ def test_bpe_streams_with_constant_memory():
     for text in ("".join(rnd.choice("abcdeé ") for _ in range(30000)).replace(" ", "q"), "ab" * 20000, "x" * 30000, "the" * 9000):
         parts = [text.encode()[i : i + 777] for i in range(0, len(text.encode()), 777)]
         assert list(model.tokens(iter(parts))) == t.encode(text, add_special_tokens=False).ids
-    seen = []
-    for k in range(400):
-        seen.append(f"w{k}".encode())
+        assert [i for ids in model.runs(f"ok {text} yes") for i in ids] == t.encode(f"ok {text} yes", add_special_tokens=False).ids
+    assert max(map(len, model.runs("xq" * 500_000))) <= bpe.PIECES
 
     def endless():
         for k in range(400):
