@@ -10,8 +10,10 @@ components that share one of their rarest shingles (which every link does) are c
 as every link is. So a group of copies never becomes all its pairs.
 
 Recall: two sets of similarity J share one tree's root child with probability J, and each further level
-keeps them with 1 - (1 - J)**BRANCH. At J = 0.85 the loss of all twelve trees is 1.3e-10 at the first level
-and below 1e-8 six levels down; the sketch filter loses about 1e-7 of the pairs at exactly J = 0.85.
+keeps them with 1 - (1 - J)**BRANCH. At J = 0.85 the loss of all twelve trees is 1.3e-10 at the first level (4.1e-9 at J = 0.8)
+and six levels down 9e-8 (7.5e-6), were the trees independent there; they draw their lower levels from the same
+TOKENS - TREES minwise tokens, so it may be some times more. The sketch filter loses about 1e-7 of the pairs at exactly J = 0.85.
+Sets are sets of 64-bit hashes of words' hashes, classes have equal 128-bit digests of whole sets.
 
 Defined results: a null or empty text has no shingles and links with nothing; a row whose id is null is
 returned with a null component and is kept; rows with the same id count as one document for links and
@@ -20,6 +22,7 @@ each yields a row; extra columns are ignored; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,21 +73,19 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = np.uint64(0xC2B2AE3D27D4EB4F)
+    digest = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     for batch in batches:
         for i, j, data, rows in T.blocks(batch.column(1)):
             sets = T.shingle_sets(T.words(data, rows), K_WORDS)
             low = np.array([minima(s) for s in sets], np.uint64).reshape(len(sets), PERMUTATIONS)
             bits = (T.mix(low * odd) >> np.uint64(62)).reshape(len(sets), 4, 32)
             sketch = (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
-            with np.errstate(over="ignore"):
-                h1 = np.array([T.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                h2 = np.array([T.mix(s * odd).sum(dtype=np.uint64) for s in sets], np.uint64)
+            classes = np.frombuffer(b"".join(map(digest, sets)), np.int64).reshape(len(sets), 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, j - i),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(h1.view(np.int64)),
-                    pa.array(h2.view(np.int64)),
+                    *(pa.array(np.ascontiguousarray(classes[:, q])) for q in range(2)),
                     _lists(list(low[:, :TOKENS])),
                     *(pa.array(np.ascontiguousarray(sketch[:, q])) for q in range(4)),
                 ],
@@ -145,9 +146,11 @@ def _across(members: DataFrame, sets: DataFrame, work: Work, percent: int) -> Da
     return x.join(y, on).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, small_node: int = SMALL_NODE, max_depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
+    Nodes of at most small_node members, and all at max_depth, are compared exhaustively.
+
     Links documents with 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id
     reachable over links, kept marks it.
     """
@@ -184,14 +187,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     level = work.save(with_component(live.select("node", "doc_id", "n", *_SKETCH)))
     work.drop(live)
     touching = []
-    for depth in range(DEPTH + 1):
+    for depth in range(max_depth + 1):
         mixed = work.save(level.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("node", "m"))
-        small = level.join(mixed.where(F.lit(depth == DEPTH) | (F.col("m") <= SMALL_NODE)).select("node"), "node", "left_semi")
+        small = level.join(mixed.where(F.lit(depth == max_depth) | (F.col("m") <= small_node)).select("node"), "node", "left_semi")
         x, y = small.alias("x"), small.alias("y")
         on = (F.col("x.node") == F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
         touching.append(work.save(x.join(y, on, "left_semi").select("doc_id", "n", *_SKETCH, "component").distinct()))
-        large = mixed.where(f"m > {SMALL_NODE}").select("node")
-        if depth == DEPTH or large.isEmpty():
+        large = mixed.where(f"m > {small_node}").select("node")
+        if depth == max_depth or large.isEmpty():
             break
         tokens = reps.select("doc_id", "tokens")
         child = F.transform(F.array(*(F.lit(k) for k in range(BRANCH))), lambda k: TREES + F.pmod(F.xxhash64("node", k), F.lit(TOKENS - TREES)).cast("int"))

@@ -95,31 +95,55 @@ def test_near_duplicates(spark, docs, percent):
             assert (r.doc_id, r.n_shingles) in sizes and r.component_id == find(r.doc_id) and r.kept == (r.doc_id == find(r.doc_id))
 
 
-def test_near_duplicates_of_a_large_group(spark):
-    rnd = random.Random(8)
-    base = [f"w{i}" for i in range(120)]
-    rows = []
-    for i in range(260):
-        t = list(base)
-        for k in range(rnd.choice([0, 1, 1, 2, 3, 4])):
-            t[rnd.randrange(120)] = f"e{i}_{k}"
-        rows.append((i, " ".join(t)))
-    known = [shingles(t) for _, t in rows]
-    root = list(range(260))
+def near_groups(seed, groups, size):
+    """Rows, and the smallest id that brute force reaches from each."""
+    rnd, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [f"w{g}_{i}" for i in range(120)]
+        for _ in range(size):
+            i, t = len(rows), list(base)
+            for k in range(rnd.choice([0, 1, 1, 2, 3, 4])):
+                t[rnd.randrange(120)] = f"e{i}_{k}"
+            rows.append((i, " ".join(t)))
+    known, root = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(260):
-        for j in range(i):
+    for i in range(len(rows)):
+        for j in range(i - i % size, i):
             if 100 * len(known[i] & known[j]) >= 85 * len(known[i] | known[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(260)}
-    assert len(set(map(find, range(260)))) > 10
+    return rows, {i: find(i) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("small", [{}, {"small_node": 4, "max_depth": 3}, {"small_node": 1, "max_depth": 6}])
+def test_near_duplicates_of_a_large_group(spark, small):
+    """Also with nodes that branch again and again: the recursion loses nothing here, so recall against brute force is 1."""
+    rows, want = near_groups(8, 1, 260)
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), **small).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) > 10
+
+
+def test_recall_of_pairs_in_many_groups(spark):
+    rows, want = near_groups(9, 60, 6)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small_node=2).collect()}
+    pairs = [(i, j) for i in want for j in range(i - i % 6, i) if want[i] == want[j]]
+    assert len(pairs) > 200 and sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+    assert all(want[i] == want[j] for i in got for j in range(i - i % 6, i) if got[i] == got[j])
+
+
+def test_no_structural_collisions(spark):
+    """Two texts of one word that a polynomial hash modulo a power of two takes for the same."""
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame([(1, t), (2, t.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")).collect()
+    assert all(r.kept for r in got) and len(got) == 2
 
 
 def test_bpe_is_the_library(spark, docs):
