@@ -109,14 +109,88 @@ def test_scalar_functions(spark):
 def test_code_facts(spark):
     known = C.facts(application(spark)).cache()
     r = {x.function: x for x in C.routes(known).collect()}
-    assert set(r) == {"show_basket", "drop_basket", "change_item", "shelf", "find_page", "get_file", "safe_file"}
-    assert r["shelf"].methods == ["GET", "POST"] and r["drop_basket"].methods == ["DELETE"] and r["drop_basket"].owner_check and r["change_item"].auth == "none"
-    assert rows(C.owned_models(known)) == [("shop", "basket", 0), ("shop", "item", 1)]
-    assert {(x.function, x.model, x.priority) for x in C.idor_candidates(known).collect()} == {("show_basket", "basket", 1), ("change_item", "item", 0)}
-    assert {x.function for x in C.missing_auth(known).collect()} == {"change_item"}
+    assert set(r) == {"show_basket", "drop_basket", "change_item", "shelf", "clear_shelf", "pay", "find_page", "get_file", "safe_file", "held_file"}
+    assert r["shelf"].methods == ["GET", "POST"] and r["drop_basket"].methods == ["DELETE"] and r["drop_basket"].owner_check and r["pay"].owner_check and r["change_item"].auth == "none"
+    assert [x[:3] for x in rows(C.owned_models(known).select("app", "model", "depth"))] == [("shop", "Basket", 0), ("shop", "Item", 1)]
+    assert {(x.function, x.model, x.priority) for x in C.idor_candidates(known).collect()} == {("show_basket", "Basket", 1), ("change_item", "Item", 0)}
+    assert {x.function for x in C.missing_auth(known).collect()} == {"clear_shelf"}
     assert {(x.function, x.family) for x in C.sinks(known).collect()} == {("find", "sql_injection"), ("get_file", "path_traversal")}
+    assert {(x.function, x.control_text) for x in C.protected(known).collect()} == {("held_file", "inside()")}
     assert known.where("kind = 'unreadable'").count() == 1
-    assert C.helper_strength(known).where("name = 'drop_basket'").head().rank == 3
+    assert {(x.name, x.rank) for x in C.helper_strength(known).where("rank > 0").collect()} == {("must_own", 3)}
+
+
+def test_models_of_an_application(spark):
+    text = """
+class Account(AbstractUser):
+    pass
+class Person(Model):
+    email = CharField()
+    phone = CharField()
+class Order(db.Model):
+    __tablename__ = 'orders'
+    owner_id: Mapped[int] = mapped_column(Integer)
+class Line(db.Model):
+    order_id = Column(ForeignKey('orders.id'))
+class Part(SQLModel):
+    line_id: int = Field(foreign_key='line.id')
+class Far(SQLModel):
+    part_id: int = Field(foreign_key='part.id')
+SCHEMA = "CREATE TABLE IF NOT EXISTS notes (id INT PRIMARY KEY, body VARCHAR(10, 2), writer INT REFERENCES users(id), FOREIGN KEY (writer) REFERENCES users(id))"
+LOANS = "SELECT id, borrower_id FROM loans WHERE id = ?"
+KNOWN = "SELECT owner FROM notes"
+"""
+    known = C.facts(spark.createDataFrame([("a", "m.py", text), ("b", "bad.py", "def (: CREATE TABLE t (user_id int, x int)")], "app string, path string, text string")).cache()
+    got = {(r.app, r.model): (r.table, ",".join(r.owner_columns), r.via, r.depth) for r in C.owned_models(known).collect()}
+    assert got == {
+        ("a", "Person"): ("person", "", "person", 0), ("a", "Order"): ("orders", "owner_id", "owner", 0), ("a", "Line"): ("line", "order_id", "reference", 1),
+        ("a", "Part"): ("part", "line_id", "reference", 2), ("a", "loans"): ("loans", "borrower_id", "owner", 0), ("b", "t"): ("t", "user_id", "owner", 0),
+    }
+
+
+def test_which_sinks_are_seeds(spark):
+    # what stands before a call of the module includes the functions above it
+    text = """
+import os
+def lonely(a):
+    return db.execute("select * from t where x = " + a)
+def fixed(name_of):
+    return open(name_of)
+def named(filename):
+    return open(filename)
+def caller():
+    fixed("constant.txt")
+    fed(request.args["p"])
+def fed(p):
+    return open(p)
+def two(a, request):
+    x = 1
+    db.execute("delete from t where n = %s" % a)
+    y = 2
+    db.execute("delete from t where n = %s" % request.args["n"])
+def looked_up(request):
+    row = session.query(File).filter(File.id == request.args["id"]).first()
+    return open(row.path)
+def weak(request):
+    p = os.path.join("/srv", request.args["name"])
+    if not p.startswith("/srv"):
+        raise ValueError
+    return open(p)
+def part(request):
+    return open(Path(request.args["x"]).name)
+class View:
+    def get(self, q):
+        return text("select a from b where c = '{}'".format(q))
+    def list(self, q):
+        return conn.execute(text(f"select a from b where c = {q}"))
+request_file = request.args["f"]
+open(request_file)
+"""
+    files = [("a", "app.py", text), ("a", "app/management/commands/load.py", text.replace("fed", "unfed")), ("a", "settings.py", text)]
+    got = sorted((r.function, r.line_start, r.priority, r.control) for r in C.sinks(C.facts(spark.createDataFrame(files, "app string, path string, text string"))).collect())
+    assert got == [
+        ("<module>", 35, 0, "weak"), ("fed", 13, 1, "none"), ("get", 31, 0, "none"), ("list", 33, 1, "none"), ("lonely", 4, 1, "none"), ("named", 8, 1, "none"), ("two", 18, 0, "none"), ("weak", 26, 0, "weak"),
+    ]
 
 
 def test_windows():
