@@ -47,9 +47,22 @@ def neutral(c: Column | str) -> Column:
     return c
 
 
+#: Characters of the tag block, and characters that are not seen.
+TAGS = r"\x{E0000}-\x{E007F}"
+UNSEEN = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}"
+
+
 def reveal(c: Column | str) -> Column:
-    """Hidden characters replaced by a visible mark."""
-    return F.regexp_replace(c, HIDDEN, "[hidden]")
+    """Hidden characters made visible: each by its code point, runs of tag characters by their length, as they may spell out text."""
+    c = F.col(c) if isinstance(c, str) else c
+    parts = F.regexp_extract_all(c, F.lit(f"([{TAGS}]+|[{UNSEEN}]|[^{TAGS}{UNSEEN}]+)"))
+    shown = F.transform(
+        parts,
+        lambda p: F.when(p.rlike(f"^[{TAGS}]"), F.concat(F.lit("["), F.length(p).cast("string"), F.lit(" hidden unicode tag characters removed]")))
+        .when(p.rlike(f"^[{UNSEEN}]"), F.concat(F.lit("[U+"), F.lpad(F.hex(F.ascii(p)), 4, "0"), F.lit("]")))
+        .otherwise(p),
+    )
+    return F.when(c.rlike(f"[{TAGS}{UNSEEN}]"), F.array_join(shown, "")).otherwise(c)
 
 
 def fence(c: Column | str) -> Column:

@@ -43,48 +43,64 @@ def sections_rst(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 class _Sections(HTMLParser):
     """Headings of three levels open sections; outermost blocks of text fill them."""
 
-    QUIET, HEADS, BLOCKS = {"script", "style", "nav", "header", "footer", "aside"}, {"h1", "h2", "h3"}, {"p", "li", "pre", "td", "dt", "dd"}
+    # Elements that are left out, that open sections, that hold text, and that have no end.
+    QUIET = {"script", "style", "nav", "header", "footer", "aside"}
+    HEADS = {"h1", "h2", "h3"}
+    BLOCKS = {"p", "li", "pre", "td", "dt", "dd"}
     VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+    # The first of these that a page has is its content: the first main, else the first article, else the first div that plays main.
+    SCOPES = ("main", "article", "role")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.found: dict[str, list[tuple[str, str]]] = {"main": [], "article": [], "all": []}
+        self.open: list[tuple[str, str]] = []  # tag, and the scope that it is the first of
+        self.found: dict[str, list[tuple[str, str]]] = {"all": []}
         self.text: list[str] = []
 
+    def _quiet(self) -> bool:
+        return any(t in self.QUIET for t, _ in self.open)
+
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             return
-        self.open.append("main" if tag == "div" and ("role", "main") in attrs else tag)
+        scope = tag if tag in ("main", "article") else "role" if tag == "div" and ("role", "main") in attrs else ""
+        if scope in self.found or self._quiet():
+            scope = ""
+        if scope:
+            self.found[scope] = []
+        self.open.append((tag, scope))
         if self._taking(tag):
             self.text = []
 
     def _taking(self, tag: str) -> bool:
-        above = self.open[:-1]
-        return not self.QUIET & set(self.open) and (tag in self.HEADS or (tag in self.BLOCKS and not self.BLOCKS & set(above)))
+        return not self._quiet() and (tag in self.HEADS or (tag in self.BLOCKS and not any(t in self.BLOCKS for t, _ in self.open[:-1])))
 
     def handle_endtag(self, tag):
-        if tag not in self.open and not (tag == "div" and "main" in self.open):
+        if all(t != tag for t, _ in self.open):
             return
         while self.open:
-            top = self.open[-1]
+            top = self.open[-1][0]
             if self._taking(top):
                 raw = "".join(self.text)
                 piece = raw.strip() if top == "pre" else " ".join(raw.split())
-                for scope in ("all", "article", "main"):
-                    if scope == "all" or scope in self.open:
-                        self.found[scope].append(("head" if top in self.HEADS else "text", piece))
+                for scope in ("all", *(s for _, s in self.open if s)):
+                    self.found[scope].append(("head" if top in self.HEADS else "text", piece))
                 self.text = []
             self.open.pop()
-            if top == tag or (tag == "div" and top == "main"):
+            if top == tag:
                 break
 
+    def close(self):
+        super().close()
+        while self.open:
+            self.handle_endtag(self.open[0][0])
+
     def handle_data(self, data):
-        if not self.QUIET & set(self.open):
+        if not self._quiet():
             self.text.append(data)
 
     def sections(self) -> list[tuple[str, str]]:
-        parts = self.found["main"] or self.found["article"] or self.found["all"]
+        parts = next((self.found[s] for s in self.SCOPES if s in self.found), self.found["all"])
         out, title, body = [], "Introduction", []
         for kind, piece in [*parts, ("head", "")]:
             if kind == "text":

@@ -98,9 +98,14 @@ def markdown_neutralize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.neutral("html").alias("safe"))
 
 
-@query("hidden_unicode", r"SELECT doc_id, regexp_replace(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]', '[hidden]', 'g') AS shown FROM (SELECT doc_id, substr(text, 1, 20) || chr(8203) || substr(text, 21, 20) || chr(8238) AS t FROM documents)")
+@query(
+    "hidden_unicode",
+    r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\x{E0000}-\x{E007F}]+|[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]|[^\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]+'),
+  lambda p: CASE WHEN regexp_matches(p, '^[\x{E0000}-\x{E007F}]') THEN '[' || length(p) || ' hidden unicode tag characters removed]' WHEN regexp_matches(p, '^[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]') THEN printf('[U+%04X]', unicode(p)) ELSE p END), '') AS shown
+FROM (SELECT doc_id, substr(text, 1, 20) || chr(8203) || substr(text, 21) || chr(8238) || chr(917569) || chr(917570) AS t FROM documents)""",
+)
 def hidden_unicode(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.substring("text", 1, 20), F.lit("​"), F.substring("text", 21, 20), F.lit("‮"))
+    t = F.concat(F.substring("text", 1, 20), F.lit("\u200b"), F.expr("substring(text, 21)"), F.lit("\u202e\U000e0041\U000e0042"))
     return table(spark, d, "documents").select("doc_id", X.reveal(t).alias("shown"))
 
 

@@ -97,7 +97,7 @@ def test_scalar_functions(spark):
     one = spark.range(1)
     ask = lambda c: one.select(c).head()[0]
     assert ask(X.hunks(F.lit("@@ -3,2 +5 @@ x\n@@ -9 +0,0 @@"))) == [(3, 4, 5, 5), (9, 9, 0, 0)]
-    assert ask(X.reveal(F.lit("a\u200bb\U000e0041"))) == "a[hidden]b[hidden]"
+    assert ask(X.reveal(F.lit("a\u200bb\U000e0041\U000e0042c\ufeff"))) == "a[U+200B]b[2 hidden unicode tag characters removed]c[U+FEFF]" and ask(X.reveal(F.lit("plain"))) == "plain"
     assert [ask(X.in_scope(F.lit(p), "/srv/app")) for p in ("x.py", "../app/x", "../apple", "/srv/app2/x", "a/../../x", "c:/x", "")] == [True, True, False, False, False, False, False]
     assert ask(X.excerpt_seen(F.lit("..."), F.lit("abc"))) is False
     assert ask(X.excerpt_seen(F.lit("a"), F.lit(None).cast("string"))) is None
@@ -193,6 +193,28 @@ open(request_file)
     ]
 
 
+def test_parts_are_joined_as_they_were_cut():
+    assert O.split_text("Aaaa bbbb. Cccc dddd. Eeee ffff.", 22) == ["Aaaa bbbb. Cccc dddd.", "Eeee ffff."]
+    assert O.split_text("one\ntwo\nthree\n\nfour", 9) == ["one\ntwo", "three", "four"]
+    assert O.split_text("a b\n\nc d\n \ne f", 9) == ["a b\n\nc d", "e f"]
+    assert O.split_text("x" * 7, 3) == ["xxx", "xxx", "x"] and O.split_text("  ", 3) == []
+
+
+def test_the_first_content_of_a_page_is_taken():
+    from marlstone.operators.documents import _Sections
+
+    def read(html):
+        p = _Sections()
+        p.feed(html)
+        p.close()
+        return p.sections()
+
+    assert read("<article><p>a</p></article><article><p>b</p></article><div role='main'><p>c</p></div>") == [("Introduction", "a")]
+    assert read("<article><p>a</p></article><main><h2>T</h2><div><p>b</p></div></main><main><p>c</p></main>") == [("T", "b")]
+    assert read("<nav><main><p>n</p></main></nav><div role='main'><div><p>c</p></div></div><p>d</p>") == [("Introduction", "c")]
+    assert read("<h1>A</h1><p>x</p><footer><p>f</p></footer><h2>B</h2><p>y") == [("A", "x"), ("B", "y")]
+
+
 def test_windows():
     import ast
 
