@@ -12,10 +12,10 @@ from marlstone.sources import tables as S
 from marlstone.sources.tables import table
 
 
-@query("family_categories", "SELECT DISTINCT a.p_brand AS family, b.p_type AS category FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1")
+@query("family_categories", "SELECT DISTINCT a.p_brand AS family, b.p_type AS category FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
 def family_categories(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    ids = lambda g, name, r: p.where(f"p_partkey % 10 = {r}").groupBy(F.col(g).alias(name)).agg(F.collect_set(F.concat(F.lit("CWE-"), "p_size")).alias("cwe_ids"))
+    ids = lambda g, name, r: p.where(f"p_partkey % 2 = {r}").groupBy(F.col(g).alias(name)).agg(F.collect_set(F.concat(F.lit("CWE-"), "p_size")).alias("cwe_ids"))
     return K.family_categories(ids("p_brand", "family", 0), ids("p_type", "category", 1))
 
 
@@ -101,12 +101,12 @@ def claim_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("cards"), F.sum(n).alias("refs"), F.count_if(n > 0).alias("sourced"))
 
 
-@query("owner_pattern_join", "SELECT p.p_partkey, s.s_suppkey FROM part p JOIN (SELECT s_suppkey, 'Brand#' || (11 + s_suppkey % 5) AS word FROM supplier WHERE s_suppkey <= 10) s ON contains(p.p_brand, s.word)")
+@query("owner_pattern_join", "SELECT p.p_partkey, s.word FROM part p JOIN (SELECT DISTINCT 'Brand#' || (11 + s_suppkey % 30) AS word FROM supplier) s ON contains(p.p_brand, s.word)")
 def owner_pattern_join(spark: SparkSession, d: str) -> DataFrame:
     """Which texts name which words: the texts' words are exploded and met by an equi join, not by a pattern on every pair."""
-    words = table(spark, d, "supplier").where("s_suppkey <= 10").select("s_suppkey", F.concat(F.lit("Brand#"), (11 + F.col("s_suppkey") % 5).cast("string")).alias("word"))
+    words = table(spark, d, "supplier").select(F.concat(F.lit("Brand#"), (11 + F.col("s_suppkey") % 30).cast("string")).alias("word")).distinct()
     p = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_brand", " "))).alias("word"))
-    return p.join(words, "word").select("p_partkey", "s_suppkey")
+    return p.join(words, "word").select("p_partkey", "word")
 
 
 @query("resume_pending", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

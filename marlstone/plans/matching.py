@@ -16,8 +16,8 @@ cases AS (
   SELECT source AS app, doc_id * 2 + side AS case_ord, lang AS family, quality = side AS vulnerable, doc_id AS file, side * 3 + 1 AS lo, side * 3 + 2 AS hi
   FROM labels JOIN documents USING (doc_id), (SELECT unnest([0, 1]) AS side) WHERE quality IS NOT NULL),
 findings AS (
-  SELECT source AS app, doc_id * 1000 + n AS finding_ord, CASE WHEN n % 11 = 10 THEN NULL ELSE lang END AS family, doc_id AS file, n AS lo, n + 1 AS hi
-  FROM lines JOIN documents USING (doc_id) WHERE regexp_matches(line, 'ou') AND n < 30),
+  SELECT source AS app, doc_id * 10000000 + n AS finding_ord, CASE WHEN n % 11 = 10 THEN NULL ELSE lang END AS family, doc_id AS file, n AS lo, n + 1 AS hi
+  FROM lines JOIN documents USING (doc_id) WHERE regexp_matches(line, 'ou')),
 near AS (
   SELECT f.app, f.finding_ord, min(c.case_ord) AS case_ord FROM findings f JOIN cases c ON f.app = c.app AND f.family = c.family AND f.file = c.file
   AND f.lo <= c.hi + 2 AND f.hi >= c.lo - 2 GROUP BY ALL),
@@ -48,9 +48,9 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    hit = lines(table(spark, d, "documents").select("doc_id", "source", "lang", "text")).where("n < 30 and line rlike 'ou'")
+    hit = lines(table(spark, d, "documents").select("doc_id", "source", "lang", "text")).where("line rlike 'ou'")
     family = F.when(F.col("n") % 11 != 10, F.col("lang"))
-    return hit.select(F.col("source").alias("app"), (F.col("doc_id") * 1000 + F.col("n")).alias("finding_ord"), family.alias("family"), F.col("doc_id").alias("file"), F.array(F.struct(F.col("n").alias("lo"), (F.col("n") + 1).alias("hi"))).alias("ranges"))
+    return hit.select(F.col("source").alias("app"), (F.col("doc_id") * 10_000_000 + F.col("n")).alias("finding_ord"), family.alias("family"), F.col("doc_id").alias("file"), F.array(F.struct(F.col("n").alias("lo"), (F.col("n") + 1).alias("hi"))).alias("ranges"))
 
 
 @query("overlap_match_outcome", _FC + " SELECT * FROM result")
@@ -124,14 +124,14 @@ def route_window_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "line_to_route",
-    rf"""WITH {SQL_LINES}, points AS (SELECT doc_id, n, doc_id * 100000 + n AS p FROM lines WHERE contains(line, ' = "')),
+    rf"""WITH {SQL_LINES}, points AS (SELECT doc_id, n, doc_id * 10000000 + n AS p FROM lines WHERE contains(line, ' = "')),
     spans AS (SELECT doc_id, side AS span_ord, side * 4 + 1 AS lo, side * 4 + 5 AS hi, 'part' || side AS name FROM documents, (SELECT unnest([0, 1, 2]) AS side)),
     hit AS (SELECT p, arg_min(name, lo) AS name FROM points JOIN spans USING (doc_id) WHERE n BETWEEN lo AND hi GROUP BY p)
     SELECT doc_id, n, coalesce(name, doc_id || ':' || n) AS name FROM points LEFT JOIN hit USING (p)""",
 )
 def line_to_route(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    points = lines(docs.where("contains(text, ' = \"')").select("doc_id", "text")).where("contains(line, ' = \"')").select("doc_id", F.col("n").alias("line"), (F.col("doc_id") * 100000 + F.col("n")).alias("point_ord"))
+    points = lines(docs.where("contains(text, ' = \"')").select("doc_id", "text")).where("contains(line, ' = \"')").select("doc_id", F.col("n").alias("line"), (F.col("doc_id") * 10_000_000 + F.col("n")).alias("point_ord"))
     spans = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("span_ord")).select("doc_id", "span_ord", (F.col("span_ord") * 4 + 1).alias("lo"), (F.col("span_ord") * 4 + 5).alias("hi"), F.concat(F.lit("part"), F.col("span_ord").cast("string")).alias("name"))
     return M.first_enclosing(points, spans, "doc_id").select("doc_id", F.col("line").cast("long").alias("n"), "name")
 

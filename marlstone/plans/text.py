@@ -44,11 +44,11 @@ def read_window(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("numbered_lines", rf"WITH {SQL_LINES} SELECT doc_id, n, printf('%5d| %s', n, substr(line, 1, 80)) AS shown FROM lines WHERE n <= 3")
+@query("numbered_lines", rf"WITH {SQL_LINES} SELECT doc_id, n, printf('%5d| %s', n, line) AS shown FROM lines")
 def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     from marlstone.sources.tables import lines
 
-    return lines(table(spark, d, "documents").select("doc_id", "text")).where("n <= 3").select("doc_id", F.col("n").cast("long").alias("n"), X.numbered(F.col("n"), F.substring("line", 1, 80)).alias("shown"))
+    return lines(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("n").cast("long").alias("n"), X.numbered(F.col("n"), F.col("line")).alias("shown"))
 
 
 @query(
@@ -136,14 +136,14 @@ def line_of_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "excerpt_seen",
-    r"""SELECT doc_id, list_bool_and(list_transform(list_filter(list_transform(string_split_regex(substr(text, 5, 60) || '...' || substr(text, 80, 20), '\n|\.\.\.'),
-    lambda p: trim(regexp_replace(p, '[ \t\n\r\f\v]+', ' ', 'g'))), lambda p: p <> ''), lambda p: contains(trim(regexp_replace(substr(text, 1, 90), '[ \t\n\r\f\v]+', ' ', 'g')), p))) AS seen
-    FROM documents WHERE n_chars >= 20""",
+    r"""SELECT doc_id, list_bool_and(list_transform(list_filter(list_transform(string_split_regex(substr(text, length(text) // 4 + 1, length(text) // 2) || '...' || substr(text, length(text) * 3 // 4 + 1, 20), '\n|\.\.\.'),
+    lambda p: trim(regexp_replace(p, '[ \t\n\r\f\v]+', ' ', 'g'))), lambda p: p <> ''), lambda p: contains(trim(regexp_replace(substr(text, 1, length(text) * 4 // 5), '[ \t\n\r\f\v]+', ' ', 'g')), p))) AS seen
+    FROM documents""",
 )
 def excerpt_seen(spark: SparkSession, d: str) -> DataFrame:
     """Whether the pieces of an excerpt stand in what was read of a document."""
-    e = F.concat(F.substring("text", 5, 60), F.lit("..."), F.substring("text", 80, 20))
-    return table(spark, d, "documents").where("n_chars >= 20").select("doc_id", X.excerpt_seen(e, F.substring("text", 1, 90)).alias("seen"))
+    e = F.expr("concat(substring(text, length(text) div 4 + 1, length(text) div 2), '...', substring(text, length(text) * 3 div 4 + 1, 20))")
+    return table(spark, d, "documents").select("doc_id", X.excerpt_seen(e, F.expr("substring(text, 1, length(text) * 4 div 5)")).alias("seen"))
 
 
 @query("hunk_ranges", "SELECT l_orderkey, l_linenumber, l_linenumber AS old_start, l_linenumber + l_quantity::INT - 1 AS old_end, l_linenumber + 3 AS new_start, l_linenumber + 3 AS new_end FROM lineitem")
@@ -174,7 +174,7 @@ _BM25 = r"""
 WITH docs AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts, regexp_extract_all(lower(source), '[a-z0-9]+') AS ss FROM documents {where}),
 sized AS (SELECT doc_id, len(ts) + len(ss) AS length, ts, ss FROM docs),
 stats AS (SELECT count(*) AS big_n, avg(length) AS mean FROM sized),
-wanted AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1))) AS term FROM benchmark WHERE item_id < 20),
+wanted AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1))) AS term FROM benchmark),
 occ AS (SELECT doc_id, length, unnest(ts) AS term, 1.0::DOUBLE AS w FROM sized UNION ALL SELECT doc_id, length, unnest(ss), 4.0::DOUBLE FROM sized),
 tf AS (SELECT doc_id, length, term, sum(w) AS tf FROM occ WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
 df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
@@ -188,7 +188,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_numb
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)")), lambda t: F.length(t) > 1))
-    return table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
 
 
 def _top(docs: DataFrame, queries: DataFrame) -> DataFrame:
