@@ -12,10 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.window import Window
 
 from marlstone.functions.text import cwe_number
-from marlstone.operators.ordered import first_wins
+from marlstone.operators.ordered import first_wins, split_text
 
 
 def weakness_chunks(entries: DataFrame) -> DataFrame:
@@ -145,6 +146,80 @@ def without_comments(s: pd.Series) -> pd.Series:
     return s.map(lambda t: blank(t or ""))
 
 
+# What stands in place of what was taken out.
+COMMENT_MARK = "# [comment removed]"
+DOC_MARK = '"""[docstring removed]"""'
+
+
+def _tokens(source: str) -> list[tokenize.TokenInfo] | None:
+    try:
+        return list(tokenize.generate_tokens(io.StringIO(source).readline))
+    except (SyntaxError, tokenize.TokenError):
+        return None
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def code_lines(s: pd.Series) -> pd.Series:
+    """Numbers of the lines that hold anything but comments, strings and layout; null for a text whose tokens cannot be told."""
+    other = {tokenize.COMMENT, tokenize.STRING, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER}
+
+    def numbers(t: str | None) -> list[int] | None:
+        found = _tokens(t or "")
+        return found if found is None else sorted({n for k in found if k.type not in other for n in range(k.start[0], k.end[0] + 1)})
+
+    return s.map(numbers)
+
+
+@F.pandas_udf(StringType())
+def without_talk(s: pd.Series) -> pd.Series:
+    """Source with marks in place of comments and of texts that stand alone as statements, on the same lines; strings that are used stay, and so does what has no tokens."""
+
+    def blank(t: str) -> str:
+        found = _tokens(t)
+        if found is None:
+            return t
+        lines = t.split("\n")
+        quiet: set[int] = set()
+        try:
+            alone = [n for n in ast.walk(ast.parse(t)) if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str)]
+        except (SyntaxError, ValueError):
+            alone = []
+        for n in alone:
+            rows = range(n.lineno, n.end_lineno + 1)
+            quiet.update(rows)
+            head = lines[n.lineno - 1].encode()[: n.col_offset].decode()
+            lines[n.lineno - 1 : n.end_lineno] = [head + DOC_MARK, *[""] * (len(rows) - 1)]
+        for k in found:
+            row, column = k.start
+            if k.type == tokenize.COMMENT and row not in quiet:
+                lines[row - 1] = lines[row - 1][:column] + COMMENT_MARK
+        return "\n".join(lines)
+
+    return s.map(lambda t: blank(t or ""))
+
+
+def source_chunks(sections: DataFrame, key: str, limit: int, terms: list[str] | None = None, shortest: int = 80) -> DataFrame:
+    """(key, id, title, text, sha256): the chunks of sections (key, section, title, body) of a source.
+
+    Bodies shorter than `shortest` are headings and links and go; the others are packed into parts of at most `limit` characters, of which those
+    stay that hold one of the terms, title included. Ids count a source's sections and a section's parts from 0, gaps included.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: split_text(t or "", limit))
+
+    w = Window.partitionBy(key).orderBy("section")
+    x = sections.select(key, "title", "body", (F.row_number().over(w) - 1).alias("_n"), F.first("title").over(w).alias("_head"))
+    x = x.withColumn("body", F.trim(F.regexp_replace("body", r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))).where(F.length("body") >= shortest)
+    x = x.select(key, "title", "_n", "_head", F.posexplode(cut("body")).alias("_k", "text"))
+    if terms:
+        said = F.lower(F.concat_ws(" ", "title", "text"))
+        x = x.where(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(said, t)))
+    title = F.when(F.col("title") == F.col("_head"), F.col("title")).otherwise(F.concat_ws(" \u2014 ", "_head", "title"))
+    return x.select(key, F.format_string("%s#%03d.%d", F.col(key).cast("string"), "_n", "_k").alias("id"), title.alias("title"), "text", F.sha2("text", 256).alias("sha256"))
+
+
 def wrapped(text: Column, nonce: str) -> Column:
     """A text between marks that it cannot forge: the nonce is taken out of it."""
     return F.concat(F.lit(f"<<{nonce}\n"), F.replace(text, F.lit(nonce), F.lit("")), F.lit(f"\n{nonce}>>"))

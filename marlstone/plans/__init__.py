@@ -24,9 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+from marlstone.plans import advisories as advisories  # noqa: E402
 from marlstone.plans import catalog as catalog  # noqa: E402
 from marlstone.plans import code as code  # noqa: E402
 from marlstone.plans import matching as matching  # noqa: E402
 from marlstone.plans import ordered as ordered  # noqa: E402
 from marlstone.plans import reports as reports  # noqa: E402
+from marlstone.plans import sweep as sweep  # noqa: E402
 from marlstone.plans import text as text  # noqa: E402

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,32 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines in a folder, null fields written out; what was there is replaced."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def word_lists(files: DataFrame, keys: tuple[str, ...] = ("sources", "sanitizers", "sql_sinks", "file_sinks"), most: int = 50) -> DataFrame:
+    """(app, key, ord, word): the first words of each named list in a project's settings (app, text), written in YAML; settings that do not parse count as none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in batches:
+            rows = []
+            for app, text in zip(pdf["app"], pdf["text"], strict=True):
+                try:
+                    found = yaml.safe_load(text or "")
+                except yaml.YAMLError:
+                    continue
+                for k in keys if isinstance(found, dict) else ():
+                    listed = found.get(k)
+                    rows += [(app, k, i, str(w)) for i, w in enumerate(listed[:most] if isinstance(listed, list) else [])]
+            yield pd.DataFrame(rows, columns=["app", "key", "ord", "word"])
+
+    return files.select("app", "text").mapInPandas(run, "app string, key string, ord int, word string")
+
+
 def weaknesses(spark: SparkSession, path: str) -> DataFrame:
     """Weakness entries of a catalogue in XML, white space normalised, nested lists as arrays of structs."""
     schema = T.StructType.fromDDL(
