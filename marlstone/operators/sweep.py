@@ -134,6 +134,19 @@ def answered_requests(requests: DataFrame, symbols: DataFrame, most: int = MAX_R
     return x.select("app", "candidate", "turn", "name", F.col("at.path").alias("file"), F.col("at.line_start").alias("line_start"), end.alias("line_end"))
 
 
+def controls_seen(verdicts: DataFrame, shown: DataFrame, code: DataFrame) -> DataFrame:
+    """verdicts (candidate, path, control_file, control_line) with `control_ok`: the line was shown to the candidate (shown: candidate, path, lo, hi) and is code.
+
+    code (path, code_lines) holds each file's lines of code, null where they cannot be told: there any line will do. A control names its own file, else the candidate's.
+    """
+    x = verdicts.withColumn("_at", F.coalesce("control_file", "path"))
+    seen = x.join(shown.withColumnRenamed("path", "_at"), ["candidate", "_at"])
+    seen = seen.where(F.col("control_line").between(F.col("lo"), F.col("hi"))).select("candidate", "control_line", "_at").distinct().withColumn("_seen", F.lit(True))
+    x = x.join(seen, ["candidate", "control_line", "_at"], "left").join(code.select(F.col("path").alias("_at"), "code_lines"), "_at", "left")
+    is_code = F.col("code_lines").isNull() | F.array_contains("code_lines", F.col("control_line"))
+    return x.withColumn("control_ok", F.coalesce("_seen", F.lit(False)) & F.coalesce(is_code, F.lit(False))).drop("_at", "_seen", "code_lines")
+
+
 def observed_text(evidence: DataFrame, events: DataFrame, shown: DataFrame) -> DataFrame:
     """evidence (evidence_id, event_id, file, line_start, line_end) with `observed`: the text of its lines as its event showed it.
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import code as C
 from marlstone.operators import sweep as W
+from marlstone.operators.catalog import code_lines
 from marlstone.plans import query
 from marlstone.plans.code import _SHOPS, _known, applications
 from marlstone.plans.text import SQL_LINES
-from marlstone.sources.tables import lines, table
+from marlstone.sources.tables import is_source, lines, read_windows, table
 
 
 @query(
@@ -160,3 +161,40 @@ def assembled_findings(spark: SparkSession, d: str) -> DataFrame:
     shown = lines(docs.select("doc_id", "text")).select(k.alias("event_id"), "n", F.col("line").alias("text"))
     x = W.assembled(kept, shown, {"sql_injection": "CWE-89", "path_traversal": "CWE-22"})
     return x.select("*", "evidence.file", "evidence.line_start", "evidence.excerpt").drop("evidence")
+
+
+@query(
+    "read_ranges",
+    r"""WITH x AS (SELECT doc_id, doc_id % 5 AS a, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 * 90 - 88 END AS b, sha256(text) AS h, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS ls FROM documents),
+    y AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'no_file' WHEN b < a + 1 THEN 'bad_range' WHEN a + 1 > len(ls) THEN 'beyond_end' ELSE 'ok' END AS status, least(coalesce(b, a + 120), a + 120, len(ls)) AS e FROM x)
+    SELECT doc_id AS request_id, status, CASE WHEN status <> 'no_file' THEN len(ls)::INT END AS total_lines, CASE WHEN status <> 'no_file' THEN h END AS sha256, CASE WHEN status = 'ok' THEN e END AS line_end,
+    CASE WHEN status = 'ok' THEN len(list_filter(ls[a + 1:e], lambda s: length(s) > 400))::INT END AS long_lines,
+    CASE WHEN status = 'ok' THEN array_to_string(list_transform(ls[a + 1:e], lambda s: CASE WHEN length(s) > 400 THEN substr(s, 1, 400) || ' …[line truncated]' ELSE s END), chr(10)) END AS shown FROM y""",
+)
+def read_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A window of each document, to a line or without an end; every seventh is not there."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    asked = docs.select(k.alias("request_id"), k.alias("path"), (k % 5 + 1).cast("int").alias("start"), F.when(k % 3 > 0, k % 3 * 90 - 88).cast("int").alias("end"))
+    return read_windows(asked, docs.where("doc_id % 7 > 0").select(k.alias("path"), "text")).drop("path")
+
+
+@query(
+    "source_paths",
+    "SELECT page_id, page_id % 6 IN (0, 5) AS own FROM pages",
+)
+def source_paths(spark: SparkSession, d: str) -> DataFrame:
+    paths = F.array(*map(F.lit, ("app/views.py", "app/tests/views.py", "vendor/x/a.py", "app/test_views.py", "app/views.txt", "testing/a_test.py")))
+    return table(spark, d, "pages").select("page_id", is_source(F.element_at(paths, (F.col("page_id") % 6 + 1).cast("int"))).alias("own"))
+
+
+@query(
+    "controls_seen",
+    "SELECT p_partkey AS candidate, p_size BETWEEN 1 AND 6 AND (p_partkey % 4 = 0 OR p_size IN (2, 4)) AS control_ok FROM part",
+)
+def controls_seen(spark: SparkSession, d: str) -> DataFrame:
+    """A control of each part, at the line of its size; every fourth file's tokens cannot be told."""
+    p, path = table(spark, d, "part"), F.concat(F.lit("f"), "p_partkey")
+    source = F.when(F.col("p_partkey") % 4 == 0, F.lit("x = (\n# a\n\n\n\n")).otherwise(F.concat(F.lit("# "), "p_name", F.lit("\nif a:\n    # b\n    c()\n\n'd'\n")))
+    verdicts = p.select(F.col("p_partkey").alias("candidate"), path.alias("path"), F.when(F.col("p_partkey") % 2 == 0, path).alias("control_file"), F.col("p_size").alias("control_line"))
+    shown = p.select(F.col("p_partkey").alias("candidate"), path.alias("path"), F.explode(F.array(F.struct(F.lit(1).alias("lo"), F.lit(4).alias("hi")), F.struct(F.lit(3).alias("lo"), F.lit(6).alias("hi")))).alias("w")).select("candidate", "path", "w.lo", "w.hi")
+    return W.controls_seen(verdicts, shown, p.select(path.alias("path"), code_lines(source).alias("code_lines"))).select("candidate", "control_ok")

@@ -44,6 +44,38 @@ def source_files(spark: SparkSession, root: str, pattern: str = "*.py", most_byt
     return known.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
+def is_source(path: Column | str) -> Column:
+    """Whether a path is Python source of the project itself: in no vendored, hidden or test folder and no test."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    name, above = F.element_at(parts, -1), F.slice(parts, F.lit(1), F.size(parts) - 1)
+    skipped = F.arrays_overlap(above, F.array(*map(F.lit, (*SKIPPED, "test", "tests"))))
+    return F.endswith(name, F.lit(".py")) & ~F.startswith(name, F.lit("test_")) & ~skipped
+
+
+# Lines of a window, characters of a line, and what stands for the rest of it.
+WINDOW_LINES, LINE_CHARS, LINE_CUT = 120, 400, " \u2026[line truncated]"
+
+
+def read_windows(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """requests (request_id, path, start, end) of files (path, text) with status, total_lines, sha256, line_end, long_lines and shown.
+
+    A window ends at the file's end or after WINDOW_LINES; lines are cut at LINE_CHARS and counted in long_lines. No file, a NUL in its
+    first 4096 characters, a start beyond its end and a window that ends before it starts are statuses without text. An empty file has no lines.
+    """
+    head = F.substring("text", 1, 4096)
+    ls = F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1))
+    have = files.select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.contains(F.coalesce(head, F.lit("")), F.lit("\x00")).alias("_binary"), ls.alias("_ls"))
+    x = requests.join(have, "path", "left").withColumn("total_lines", F.size("_ls"))
+    last = F.least(F.coalesce("end", F.col("start") + WINDOW_LINES - 1), F.col("start") + WINDOW_LINES - 1, "total_lines")
+    status = F.when(F.col("_ls").isNull(), "no_file").when(F.col("_binary"), "binary").when(F.coalesce("end", "start") < F.col("start"), "bad_range").when(F.col("start") > F.col("total_lines"), "beyond_end").otherwise("ok")
+    x = x.withColumn("status", status).withColumn("line_end", F.when(F.col("status") == "ok", last))
+    part = F.slice("_ls", F.col("start"), F.col("line_end") - F.col("start") + 1)
+    shown = F.transform(part, lambda s: F.when(F.length(s) > LINE_CHARS, F.concat(F.substring(s, 1, LINE_CHARS), F.lit(LINE_CUT))).otherwise(s))
+    long_lines = F.size(F.filter(part, lambda s: F.length(s) > LINE_CHARS))
+    ok = F.col("status") == "ok"
+    return x.select("request_id", "path", "status", F.when(F.col("_ls").isNotNull(), F.col("total_lines")).alias("total_lines"), "sha256", "line_end", F.when(ok, long_lines).alias("long_lines"), F.when(ok, F.array_join(shown, "\n")).alias("shown"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a stated schema; rows that do not fit fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
