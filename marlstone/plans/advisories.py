@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,7 +154,7 @@ def word_lists(spark: SparkSession, d: str) -> DataFrame:
 @query("written_chunks", "SELECT item_id, nullif(text, '') AS text, sha256(text) AS sha256, CASE WHEN item_id % 2 = 0 THEN 'cc0' END AS license FROM benchmark")
 def written_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written as JSON lines and read back with their schema."""
-    path = f"{shared_folder(spark)}/written-chunks-{abs(hash(d)):x}"
+    path = f"{shared_folder(spark)}/written-chunks-{uuid.uuid4().hex}"
     x = table(spark, d, "benchmark").select("item_id", "text", F.sha2("text", 256).alias("sha256"), F.when(F.col("item_id") % 2 == 0, "cc0").alias("license"))
     S.write_jsonl(x, path)
     return S.jsonl(spark, path, "item_id bigint, text string, sha256 string, license string")

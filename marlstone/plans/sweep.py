@@ -65,8 +65,8 @@ def window_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hidden_notes", "SELECT source AS app, 'd' || doc_id AS path, 'd' || doc_id || ': hidden Unicode characters in the source (possible Trojan Source / hidden instructions)' AS note FROM documents WHERE doc_id % 9 = 4 AND text <> '' OR regexp_matches(text, '[\\x{E0000}-\\x{E007F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FEFF}]')")
 def hidden_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Every ninth text has marks put before each of its lines' first space."""
-    t = F.when(F.col("doc_id") % 9 == 4, F.concat(F.replace("text", F.lit(" "), F.lit("​ ‮")), F.lit("⁠"))).otherwise(F.col("text"))
+    """Every ninth text has marks around its spaces and at its end."""
+    t = F.when(F.col("doc_id") % 9 == 4, F.concat(F.replace("text", F.lit(" "), F.lit("\u200b \u202e")), F.lit("\u2060"))).otherwise(F.col("text"))
     x = lines(table(spark, d, "documents").where("text <> ''").select(F.col("source").alias("app"), F.concat(F.lit("d"), "doc_id").alias("path"), t.alias("text")))
     return W.hidden_notes(x.select("app", "path", F.col("line").alias("text")))
 
