@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from marlstone.llm import _sql
 from marlstone.llm.bpe import encode_decode
 from marlstone.llm.chat import conversations, from_turns, read_back
 from marlstone.llm.decontaminate import matches
@@ -15,6 +16,8 @@ from marlstone.llm.licenses import license_labels
 from marlstone.llm.linededup import line_dedup
 from marlstone.llm.near_dedup import near_duplicates
 from marlstone.llm.quality import classify
+from marlstone.llm.repair import damaged_and_repaired
+from marlstone.llm.resample import resample
 from marlstone.llm.secrets import secrets
 from marlstone.llm.token_counts import edit_counts, three_edits
 
@@ -73,6 +76,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -84,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_resampling": op13_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -108,4 +121,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(12 + r + 1 + t + 10 + 1)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-ORACLE: dict[str, str] = {"op2_near_dedup": _NEAR_SQL, "op8_chat": _CHAT_SQL}
+ORACLE: dict[str, str] = {"op2_near_dedup": _NEAR_SQL, "op8_chat": _CHAT_SQL, "op12_structure_repair": _sql.REPAIR, "op13_resampling": _sql.RESAMPLE}

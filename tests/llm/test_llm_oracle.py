@@ -14,7 +14,7 @@ DATA = os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     found = QUERIES[name](spark, DATA)
     cursor = db.execute(ORACLE[name])
