@@ -45,8 +45,12 @@ def buckets(words: Column, longest: int = LONGEST) -> Column:
     code = lambda run: (F.crc32(run.cast("binary")) % BUCKETS).cast("int")
     if longest == 1:
         return F.transform(words, code)
-    starts = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(*(F.transform(starts(n), lambda i, n=n: code(F.array_join(F.slice(words, i, n), " "))) for n in range(1, longest + 1)))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: code(F.array_join(F.slice(words, i, n), " ")))
+
+    return F.concat(*(runs(n) for n in range(1, longest + 1)))
 
 
 def gain(t: Column, s: Column, in_target: Column, in_corpus: Column) -> Column:
