@@ -10,6 +10,7 @@ import corpus_pipeline
 from marlstone.llm import _sql
 from marlstone.llm.bpe import encode_decode
 from marlstone.llm.chat import conversations, from_turns, read_back
+from marlstone.llm.count_tree import similar
 from marlstone.llm.decontaminate import matches
 from marlstone.llm.fingerprint import compare_with_edits
 from marlstone.llm.licenses import license_labels
@@ -76,6 +77,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(spark, _table(spark, sf_dir, "documents"))
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(spark, _table(spark, sf_dir, "conversations"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_structure_repair": op12_structure_repair,
     "op13_resampling": op13_resampling,
     "pipeline": corpus_pipeline.run,
@@ -121,4 +127,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(12 + r + 1 + t + 10 + 1)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
-ORACLE: dict[str, str] = {"op2_near_dedup": _NEAR_SQL, "op8_chat": _CHAT_SQL, "op12_structure_repair": _sql.REPAIR, "op13_resampling": _sql.RESAMPLE}
+#: The same statement over shingles of four words.
+_JACCARD_SQL = _NEAR_SQL.replace("len(w) < 5", "len(w) < 4").replace("len(w) - 3)", "len(w) - 2)").replace("i + 4]", "i + 3]").replace(", doc_id = component_id AS kept", "")
+
+ORACLE: dict[str, str] = {"op2_near_dedup": _NEAR_SQL, "op8_chat": _CHAT_SQL, "op11_jaccard_join": _JACCARD_SQL, "op12_structure_repair": _sql.REPAIR, "op13_resampling": _sql.RESAMPLE}
