@@ -8,10 +8,10 @@ all pairs of two nodes. Surviving pairs are confirmed on the full sets.
 
 One tree over all documents would meet most pairs of like size, as counts of random groups are all alike. So
 the points are dealt into cells first, each with a tree of its own, such that no pair is lost: sets of the wanted similarity
-differ in at most D shingles. If shingles are dealt into D + 1 parts by their hash, a part without
-a difference remains, so the pair meets under that part's digest. D depends on the size, so sizes
-go in bands, and a set stands in its own band and, where a partner may be larger, in the next. A part without any shingle says nothing
-and is dealt again by another hash, DEPTH times. Cells of one document go, and of cells with equal members one stays.
+differ in at most D shingles. Shingles are dealt into parts by their hash; where a set fills more than D of them,
+one of these has no difference, so the pair meets under that part's digest. D depends on the size, so sizes
+go in bands, and a set stands in its own band and, where a partner may be larger, in the next. The few sets that fill
+D parts or fewer stand under each of their shingles besides. Cells of one document go, and of cells with equal members one stays.
 
 A cell's points are packed into leaves of LEAF in the order of a range sort (size, then coordinates). Links
 are sought in three steps, so that a group of copies never becomes all its pairs: in a leaf, each point with its best
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,6 @@ K_WORDS = 4
 GROUPS = 128
 #: Points of a leaf.
 LEAF = 512
-#: How often an empty part is dealt again.
-DEPTH = 3
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
@@ -54,7 +53,7 @@ class Bands:
     """Bands of set sizes: a partner of a set is in the set's band or the next to it."""
 
     def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
+        self.percent, self.starts, self._limits = percent, [1], {}
 
     def largest_partner(self, n: int) -> int:
         return n * 100 // self.percent
@@ -65,32 +64,39 @@ class Bands:
             self.starts.append(max(self.starts[-1] + 1, self.largest_partner(self.largest_partner(self.starts[-1])) + 1))
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the shingles in which sets of the band and their smaller partners may differ."""
+    def limits(self, band: int) -> tuple[int, int]:
+        """(differences, parts): in how many shingles sets of the band and their smaller partners may differ, and parts to deal them into.
+
+        There are so many parts that the smallest sets fill more of them than there are differences, with a margin of four standard deviations.
+        """
         while len(self.starts) <= band + 1:
             self.of(self.starts[-1])
-        most = self.starts[band + 1] - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent) + 1
+        if band not in self._limits:
+            least, most = self.starts[band] * self.percent // 100, self.starts[band + 1] - 1
+            differ = 2 * most * (100 - self.percent) // (100 + self.percent)
+            parts = differ + 3
+            while differ and parts < 8 * most:
+                load = least / parts
+                spread = (parts * (exp(-load) - (1 + load) * exp(-2 * load))) ** 0.5
+                if parts * (1 - exp(-load)) - 4 * spread > differ:
+                    break
+                parts += 1 + parts // 50
+            self._limits[band] = differ, parts
+        return self._limits[band]
 
 
 def _number(x: int) -> int:
     return int(T.mix(np.array([x & _MASK], np.uint64))[0])
 
 
-def cells(shingles: np.ndarray, band: int, parts: int, path: int = 0, depth: int = 1) -> list[np.ndarray]:
-    """Keys of the parts of a set; an empty part's place is taken by the keys of another deal."""
-    path = _number(path * 31 + band * 1_000_003 + depth)
-    at = (T.mix(shingles ^ np.uint64(path)) % np.uint64(parts)).astype(np.int64)
-    digest = np.arange(parts, dtype=np.uint64) * _STEP + np.uint64(path)
-    digest = T.mix(digest)
+def cells(shingles: np.ndarray, band: int, differ: int, parts: int) -> np.ndarray:
+    """Keys of the filled parts of a set; where they are too few to outnumber the differences, of each shingle besides."""
+    seed = np.uint64(_number(band + 1))
+    at = (T.mix(shingles ^ seed) % np.uint64(parts)).astype(np.int64)
+    digest = T.mix(np.arange(parts, dtype=np.uint64) * _STEP + seed)
     np.add.at(digest, at, T.mix(shingles * _ODD))
-    filled = np.zeros(parts, bool)
-    filled[at] = True
-    out = [T.mix(digest[filled])]
-    for i in np.flatnonzero(~filled).tolist():
-        below = path + 7919 * (i + 1)
-        out += [np.array([_number(below)], np.uint64)] if depth == DEPTH else cells(shingles, band, parts, below, depth + 1)
-    return out
+    keys = T.mix(digest[np.unique(at)])
+    return keys if len(keys) > differ else np.concatenate((keys, T.mix(shingles ^ T.mix(np.array([seed + _ODD])))))
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -128,10 +134,10 @@ def _cell_rows(percent: int):
                     if not len(s):
                         continue
                     for b in sorted({bands.of(len(s)), bands.of(bands.largest_partner(len(s)))}):
-                        if (parts := bands.parts(b)) > 1:  # else only equal sets are alike
-                            k = np.concatenate(cells(s, b, parts))
-                            keys.append(k)
-                            of.append(np.full(len(k), i + r))
+                        differ, parts = bands.limits(b)
+                        if differ:  # else only equal sets are alike
+                            keys.append(cells(s, b, differ, parts))
+                            of.append(np.full(len(keys[-1]), i + r))
                 cell, row = np.concatenate(keys), pa.array(np.concatenate(of))
                 for a in range(0, len(cell), 1 << 18):
                     part = row.slice(a, 1 << 18)
