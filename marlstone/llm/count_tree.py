@@ -15,8 +15,8 @@ D parts or fewer stand under each of their shingles besides. Cells of one docume
 
 A cell's points are packed into leaves of LEAF in the order of a range sort (size, then coordinates). Links
 are sought in three steps, so that a group of copies never becomes all its pairs: in a leaf, each point with its best
-earlier one; then, in cells that still hold several components, each point outside the commonest component with its best partner
-in each other component; then all pairs across components that the bound allows. The last step leaves nothing out.
+earlier one; then, in cells that still hold several components, each point outside the commonest component with its best
+partner in another; then all pairs across components that the bound allows. The last step leaves nothing out.
 
 Defined results: a null or empty text has no shingles and links with nothing; a row whose id is null is
 returned with a null component; rows with the same id count as one document for links and each yields a
@@ -96,7 +96,7 @@ def cells(shingles: np.ndarray, band: int, differ: int, parts: int) -> np.ndarra
     digest = T.mix(np.arange(parts, dtype=np.uint64) * _STEP + seed)
     np.add.at(digest, at, T.mix(shingles * _ODD))
     keys = T.mix(digest[np.unique(at)])
-    return keys if len(keys) > differ else np.concatenate((keys, T.mix(shingles ^ T.mix(np.array([seed + _ODD])))))
+    return keys if len(keys) > differ else np.concatenate((keys, T.mix(shingles ^ np.uint64(_number(~band)))))
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -155,60 +155,76 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bounds(points: list[bytes], sizes: list[int], percent: int, others: list[bytes], other_sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each point: which others the bound allows, and the share of both sizes that they may have in common."""
-    y = np.frombuffer(b"".join(others), np.int32).reshape(len(others), GROUPS)
-    m = np.array(other_sizes, np.int64)
-    for k, (p, n) in enumerate(zip(points, sizes, strict=True)):
-        common = np.minimum(np.frombuffer(p, np.int32), y).sum(axis=1, dtype=np.int64)
-        yield k, common * (100 + percent) >= (n + m) * percent, common / (n + m)
+class Members:
+    """A column of leaves as flat arrays; leaf i's points are first[i]:first[i + 1]."""
 
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        self.first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+        number = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+        self.ids, self.sizes = number("doc_id"), number("n")
+        self.own = None if flat.field("component").null_count else number("component")
+        self.points = T.buffers(flat.field("point"))[0].view(np.int32).reshape(len(flat), GROUPS)
 
-_PAIR = ["a", "b"]
 
+def _bounds(x: Members, k: int, y: Members, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of point k of x and the points a:b of y: whether the bound allows a link, and the share of both sizes that they may have in common."""
+    common = np.minimum(x.points[k], y.points[a:b]).sum(axis=1, dtype=np.int64)
+    both = x.sizes[k] + y.sizes[a:b]
+    return common * (100 + percent) >= both * percent, common / both
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))] if len(x) else [pa.array([], pa.int64())] * 2, _PAIR)
+
+_FOUND = ["a", "b", "share"]
+
+
+def _found(a: list[int], b: list[int], share: list[float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.float64())], _FOUND)
 
 
 def _best_earlier(percent: int):
-    """Within leaves (ids, sizes, points): each point with the best one before it."""
+    """Within leaves: each point with the best one before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for members in batch.column("members").to_pylist():
-                ids, sizes, points = ([x[c] for x in members] for c in ("doc_id", "n", "point"))
-                for k, allowed, share in _bounds(points, sizes, percent, points, sizes):
-                    if allowed[:k].any():
-                        found.append((ids[k], ids[int(np.argmax(np.where(allowed[:k], share[:k], -1)))]))
-            yield _pairs(found)
+            x, out = Members(batch.column("members")), ([], [], [])
+            for a, b in zip(x.first[:-1].tolist(), x.first[1:].tolist(), strict=True):
+                for k in range(a + 1, b):
+                    allowed, share = _bounds(x, k, x, a, k, percent)
+                    if allowed.any():
+                        best = int(np.argmax(np.where(allowed, share, -1)))
+                        for column, v in zip(out, (x.ids[k], x.ids[a + best], share[best]), strict=True):
+                            column.append(v)
+            yield _found(*out)
 
     return run
 
 
 def _across(percent: int, every: bool):
-    """Of two leaves: pairs in different components, all or the best of each point and component."""
+    """Of two leaves: pairs in different components, all or the best of each point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members, more in zip(batch.column("members").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                found = []
-                ids, sizes, points, own = ([x[c] for x in members] for c in ("doc_id", "n", "point", "component"))
-                ids2, sizes2, points2, own2 = ([x[c] for x in more] for c in ("doc_id", "n", "point", "component"))
-                other = np.array(own2, np.int64)
-                for k, allowed, share in _bounds(points, sizes, percent, points2, sizes2):
-                    hits = np.flatnonzero(allowed & (other != own[k]))
+            x, y, out = Members(batch.column("members")), Members(batch.column("more")), ([], [], [])
+            for i in range(batch.num_rows):
+                a, b = int(y.first[i]), int(y.first[i + 1])
+                for k in range(int(x.first[i]), int(x.first[i + 1])):
+                    allowed, share = _bounds(x, k, y, a, b, percent)
+                    allowed &= y.own[a:b] != x.own[k]
+                    hits = np.flatnonzero(allowed)
                     if not every and len(hits):
-                        hits = hits[np.lexsort((-share[hits], other[hits]))]
-                        hits = hits[np.flatnonzero(np.diff(other[hits], prepend=other[hits][0] - 1))]
-                    found += [(ids[k], ids2[h]) for h in hits.tolist()]
-                yield _pairs(found)
+                        hits = hits[[int(np.argmax(share[hits]))]]
+                    out[0].extend([x.ids[k]] * len(hits))
+                    out[1].extend(y.ids[a + hits])
+                    out[2].extend(share[hits])
+            yield _found(*out)
 
     return run
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -254,10 +270,11 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     rows = work.save(docs.join(reps, "doc_id", "left_semi").mapInArrow(_cell_rows(percent), "cell long, doc_id long"))
-    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    # sums of 31 bits tell members apart even where an id comes twice
+    marks = [F.sum(F.xxhash64("doc_id", F.lit(k)).bitwiseAND(F.lit(2**31 - 1))).alias(f"m{k}") for k in range(3)]
     shared = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *marks).where("lo < hi")
-    chosen = work.save(shared.groupBy("size", "m0", "m1").agg(F.min("cell").alias("cell")).select("cell", "size"))
-    live = work.save(rows.join(chosen, "cell").distinct())
+    chosen = work.save(shared.groupBy("size", "m0", "m1", "m2").agg(F.min("cell").alias("cell")).select("cell", "size"))
+    live = work.save(rows.join(chosen, "cell"))
     work.drop(rows, chosen)
 
     ids = live.select("doc_id").distinct()
@@ -269,13 +286,13 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
     leaves = _leaves(first, points, work, leaf)
     heads = leaves.select("cell", F.struct("leaf", F.get("members", F.lit(0))["doc_id"].alias("doc_id")).alias("head"))
     roots = heads.groupBy("cell").agg(F.min("head").alias("root"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    stars = heads.join(roots, "cell").select(F.least("head.doc_id", "root.doc_id").alias("a"), F.greatest("head.doc_id", "root.doc_id").alias("b"))
-    tried = leaves.select("members").mapInArrow(_best_earlier(percent), "a long, b long").unionByName(stars).where("a < b").distinct()
-    tried = work.save(tried)
+    stars = heads.join(roots, "cell").select(F.col("head.doc_id").alias("a"), F.col("root.doc_id").alias("b"))
+    best = leaves.select("members").mapInArrow(_best_earlier(percent), "a long, b long, share double")
+    tried = work.save(_ordered(best.select("a", "b").unionByName(stars)))
     links = work.save(_confirmed(tried, sets, percent))
     found = components(links, work)
 
-    for every in (False, True):
+    for every in (False, False, True):
         labelled = work.save(live.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component")))
         share = labelled.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cell")
         mixed = work.save(share.agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("cell", "most"))
@@ -289,8 +306,10 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
         one = leaves.where("NOT main").select("cell", "leaf", "members")
         two = leaves.select("cell", F.col("main").alias("main2"), F.col("leaf").alias("leaf2"), F.col("members").alias("more"))
         both = met.join(one, ["cell", "leaf"]).join(two, ["cell", "main2", "leaf2"]).select("members", "more")
-        more = both.mapInArrow(_across(percent, every), "a long, b long").distinct()
-        more = work.save(more.join(tried, ["a", "b"], "left_anti"))
+        more = both.mapInArrow(_across(percent, every), "a long, b long, share double")
+        if not every:
+            more = more.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+        more = work.save(_ordered(more).join(tried, ["a", "b"], "left_anti"))
         links = work.save(links.unionByName(_confirmed(more, sets, percent)))
         tried = tried.unionByName(more)
         work.drop(labelled, mixed, leaves)
