@@ -51,6 +51,11 @@ OWNER_COLUMN = (
 USER_TABLE = r"(?i)^(user|users|account|accounts|member|members|customer|customers|app_user|appuser)$"
 PASSWORD_COLUMN = r"(?i)^(password|password_hash|hashed_password|passwd|pw_hash)$"
 PERSONAL_COLUMN = r"(?i)^(phone|phone_number|address|email|ssn|dob|date_of_birth|salary|iban|card_number|passport)$"
+KEY_CALLS = "ForeignKey OneToOneField".split()
+RELATION_CALLS = "relationship ManyToManyField".split()
+MODEL_BASE = r"(?m)Model$|AbstractUser|AbstractBaseUser"
+USER_BASE = r"AbstractUser|AbstractBaseUser"
+USER_KEY = r"\bAUTH_USER_MODEL$|\bget_user_model\("
 COLUMN_CALLS = "Column mapped_column Field relationship".split()
 
 # Routes, sign-in, roles and owners.
