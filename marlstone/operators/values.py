@@ -90,3 +90,24 @@ WRITES = r"(?i)\.delete\(|session\.delete|DELETE\s+FROM|UPDATE\s+\w+\s+SET|\.com
 PUBLIC = r"(?i)login|logout|register|signup|sign_up|index|^home$|health|static|about|forgot|reset|token|public|favicon|docs|openapi|^root$|status|ping|version"
 DANGEROUS = r"(?i)\beval\(|\bexec\(|subprocess\.|os\.system\(|os\.popen\(|render_template_string\(|etree\.|xml\.dom|pickle\.loads|yaml\.load\(|drop_all\(|DROP\s+TABLE"
 SENSITIVE = r"(?i)\.delete\(|DELETE\s+FROM|UPDATE\s+\w+\s+SET|INSERT\s+INTO|\.commit\(\)|subprocess|os\.system|eval\(|exec\(|open\(|send_file|admin|password|secret|token"
+
+# Views of Django and its REST framework.
+NO_VIEW_FILE = r"(urls|models|admin|settings|serializers|forms|apps|permissions)\.py$|/migrations/|/management/"
+URL_CALLS = "path re_path url register".split()
+VIEW_BASE = r"View$|ViewSet$|APIView$|Mixin$|^generics\.|^viewsets\.|^views\."
+DETAIL_BASE = r"ModelViewSet|ReadOnlyModelViewSet|Retrieve|Update|Destroy|DetailView|UpdateView|DeleteView|GenericViewSet"
+WRITE_BASE = r"ModelViewSet|Create|Update|Destroy|DeleteView|CreateView|UpdateView|FormView"
+VIEW_VERBS = "get post put patch delete".split()
+VIEW_LOGIN = r"login_required|LoginRequiredMixin|IsAuthenticated\b|authentication_required|TokenHasScope|IsAuthenticatedOrReadOnly"
+VIEW_ROLE = (
+    r"permission_required|user_passes_test|staff_member_required|PermissionRequiredMixin|UserPassesTestMixin|IsAdminUser|DjangoModelPermissions|superuser|[Aa]dmin|[Ss]taff|"
+    r"[Mm]anager|[Rr]ole"
+)
+VIEW_WRITES = r"\.save\(|\.delete\(|\.update\(|\.create\(|\.bulk_create\(|\.set\(|\.add\(|\.remove\("
+VIEW_SCOPED = (
+    r"\w+\s*=\s*(?:self\.)?request\.user\b|(?:self\.)?request\.user\.\w+\.(?:all|filter|get|exclude)\(|(?:self\.)?request\.user\.\w+_set\b|"
+    r"[=!]=\s*(?:self\.)?request\.user\b|(?:self\.)?request\.user\s*[=!]=|(?:self\.)?request\.user\.(?:id|pk)\b\s*[=!]=|[=!]=\s*(?:self\.)?request\.user\.(?:id|pk)\b"
+)
+VIEW_LOGIN_BODY = r"request\.user\.is_authenticated|request\.user\.is_anonymous|request\.auth\b"
+VIEW_ROLE_BODY = r"request\.user\.(is_staff|is_superuser|has_perm|groups|role)\b|\.has_perm\("
+VIEW_REFUSES = r"raise|Forbidden|redirect\(|return\s+Response\(|PermissionDenied|40[13]|return\s+(self\.)?request"

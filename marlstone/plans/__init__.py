@@ -32,3 +32,4 @@ from marlstone.plans import ordered as ordered  # noqa: E402
 from marlstone.plans import reports as reports  # noqa: E402
 from marlstone.plans import sweep as sweep  # noqa: E402
 from marlstone.plans import text as text  # noqa: E402
+from marlstone.plans import views as views  # noqa: E402
