@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import io
-import json
 import tokenize
 import unicodedata
 from collections.abc import Iterator
@@ -12,11 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from pyspark.sql.window import Window
 
 from marlstone.functions.text import cwe_number
 from marlstone.operators.ordered import first_wins, split_text
+from marlstone.sources.work import settled
 
 
 def weakness_chunks(entries: DataFrame) -> DataFrame:
@@ -37,25 +37,24 @@ def card_chunks(cards: DataFrame, sections: list[str]) -> DataFrame:
 
 
 def references(cards: DataFrame) -> DataFrame:
-    """(id, path, ref) of every `refs...` list at any depth of a card (id, json)."""
+    """(id, path, ref) of every `refs...` list at any depth of a card (id, json); a text that is no JSON has none.
 
-    def walk(node: object, path: str) -> Iterator[tuple[str, str]]:
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if k.startswith("refs") and isinstance(v, list):
-                    yield from ((f"{path}.{k}".lstrip("."), str(r)) for r in v)
-                else:
-                    yield from walk(v, f"{path}.{k}")
-        elif isinstance(node, list):
-            for i, v in enumerate(node):
-                yield from walk(v, f"{path}[{i}]")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, p, r) for i, j in zip(pdf["id"], pdf["json"], strict=True) for p, r in walk(json.loads(j or "null"), "")]
-            yield pd.DataFrame(rows, columns=["id", "path", "ref"])
-
-    return cards.select("id", "json").mapInPandas(run, "id string, path string, ref string")
+    Each round opens the objects and lists that the round before left, one level for all cards at once, until none is left.
+    """
+    explode = cards.sparkSession.tvf.variant_explode
+    kind = F.schema_of_variant("value")
+    level = cards.select("id", F.lit("").alias("path"), F.try_parse_json("json").alias("node"))
+    found = None
+    while True:
+        inner = level.lateralJoin(explode(F.col("node").outer())).select("id", "path", "pos", "key", "value")
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), "key"))
+        inner = settled(inner.select("id", F.concat("path", step).alias("path"), F.coalesce(F.col("key").startswith("refs"), F.lit(False)).alias("named"), "value", kind.alias("kind")).where("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'"))
+        lists = inner.where("named AND kind LIKE 'ARRAY%'").select("id", "path", F.col("value").alias("list"))
+        refs = lists.lateralJoin(explode(F.col("list").outer())).select("id", "path", F.col("value").cast("string").alias("ref"))
+        found = refs if found is None else found.unionByName(refs)
+        level = inner.where("NOT (named AND kind LIKE 'ARRAY%')").select("id", "path", F.col("value").alias("node"))
+        if level.isEmpty():
+            return found
 
 
 def broken_references(refs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -151,51 +150,54 @@ COMMENT_MARK = "# [comment removed]"
 DOC_MARK = '"""[docstring removed]"""'
 
 
-def _tokens(source: str) -> list[tokenize.TokenInfo] | None:
-    try:
-        return list(tokenize.generate_tokens(io.StringIO(source).readline))
-    except (SyntaxError, tokenize.TokenError):
-        return None
+_MARKS = ArrayType(StructType().add("kind", StringType()).add("line", IntegerType()).add("last", IntegerType()).add("column", IntegerType()))
+_LAYOUT = frozenset((tokenize.STRING, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def code_lines(s: pd.Series) -> pd.Series:
-    """Numbers of the lines that hold anything but comments, strings and layout; null for a text whose tokens cannot be told."""
-    other = {tokenize.COMMENT, tokenize.STRING, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER}
+@F.pandas_udf(_MARKS)
+def source_marks(s: pd.Series) -> pd.Series:
+    """What stands where in Python source: comments, code, and texts that are statements by themselves; null where tokens cannot be told."""
 
-    def numbers(t: str | None) -> list[int] | None:
-        found = _tokens(t or "")
-        return found if found is None else sorted({n for k in found if k.type not in other for n in range(k.start[0], k.end[0] + 1)})
+    def marks(text: str) -> list[dict] | None:
+        row = lambda kind, line, last, column: {"kind": kind, "line": line, "last": last, "column": column}
+        try:
+            tokens = [(t.type, *t.start, t.end[0]) for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type not in _LAYOUT]
+        except (SyntaxError, tokenize.TokenError):
+            return None
+        out = [row("comment" if kind == tokenize.COMMENT else "code", line, last, column) for kind, line, column, last in tokens]
+        try:
+            statements = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Expr)]
+        except (SyntaxError, ValueError):
+            return out
+        lines = text.split("\n")
+        alone = (n for n in statements if isinstance(getattr(n.value, "value", None), str))
+        return out + [row("alone", n.lineno, n.end_lineno, len(lines[n.lineno - 1].encode()[: n.col_offset].decode())) for n in alone]
 
-    return s.map(numbers)
+    return s.map(lambda t: marks(t or ""))
 
 
-@F.pandas_udf(StringType())
-def without_talk(s: pd.Series) -> pd.Series:
-    """Source with marks in place of comments and of texts that stand alone as statements, on the same lines; strings that are used stay, and so does what has no tokens."""
+def code_lines(text: Column | str) -> Column:
+    """Numbers of the lines that hold anything but comments, strings and layout; null for a text whose tokens cannot be told."""
+    code = F.filter(source_marks(text), lambda m: m["kind"] == "code")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(code, lambda m: F.sequence(m["line"], m["last"])))))
 
-    def blank(t: str) -> str:
-        found = _tokens(t)
-        if found is None:
-            return t
-        lines = t.split("\n")
-        quiet: set[int] = set()
-        try:
-            alone = [n for n in ast.walk(ast.parse(t)) if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str)]
-        except (SyntaxError, ValueError):
-            alone = []
-        for n in alone:
-            rows = range(n.lineno, n.end_lineno + 1)
-            quiet.update(rows)
-            head = lines[n.lineno - 1].encode()[: n.col_offset].decode()
-            lines[n.lineno - 1 : n.end_lineno] = [head + DOC_MARK, *[""] * (len(rows) - 1)]
-        for k in found:
-            row, column = k.start
-            if k.type == tokenize.COMMENT and row not in quiet:
-                lines[row - 1] = lines[row - 1][:column] + COMMENT_MARK
-        return "\n".join(lines)
 
-    return s.map(lambda t: blank(t or ""))
+def without_talk(text: Column | str) -> Column:
+    """Source with marks in place of comments and of texts that stand alone as statements, on the same lines; strings that are used stay, and so does what has no tokens."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    marks = F.coalesce(source_marks(text), F.array().cast(_MARKS))
+
+    def line(marks: Column, t: Column, i: Column) -> Column:
+        here = F.filter(marks, lambda m: (m["kind"] != "code") & (m["line"] <= i + 1) & (m["last"] > i))
+        # a text that stands alone comes before a comment beside it
+        first = F.get(F.array_sort(F.transform(here, lambda m: F.struct(m["kind"].alias("kind"), m["line"].alias("line"), m["column"].alias("column")))), F.lit(0))
+        mark = F.when(first["kind"] == "alone", F.lit(DOC_MARK)).otherwise(F.lit(COMMENT_MARK))
+        return F.when(first.isNull(), t).when(first["line"] <= i, F.lit("")).otherwise(F.concat(F.substring(t, F.lit(1), first["column"]), mark))
+
+    # marks come from Python and may not stand inside a lambda, so text and marks go in as a list of one
+    both = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), marks.alias("marks")))
+    done = F.transform(both, lambda x: F.array_join(F.transform(x["lines"], lambda t, i: line(x["marks"], t, i)), "\n"))
+    return F.get(done, F.lit(0))
 
 
 def source_chunks(sections: DataFrame, key: str, limit: int, terms: list[str] | None = None, shortest: int = 80) -> DataFrame:

@@ -24,27 +24,30 @@ def fit(x: np.ndarray, y: np.ndarray, k: np.ndarray | None = None) -> np.ndarray
 
 
 def leave_one_out(rows: DataFrame, group: str, key: str, features: list[str], label: str, threshold: float = 0.5, most_groups: int = 200) -> DataFrame:
-    """(group, key, p, keep) for every row, scored by weights from all other groups.
+    """(group, key, p, keep) for every row, scored by weights from all other groups. Rows without a group are one group; where no other group
+    has a label there is nothing to learn from, so p is 0.5.
 
     The gradient needs only sums, so rows are first merged: equal feature rows with equal labels count once with their number.
     A fold's merged table is bounded by the features' different values; more than most_groups groups are an error, not cut.
     """
     merged = rows.groupBy(group, *features, label).agg(F.count(F.lit(1)).alias("_n"))
-    folds = sorted(r[0] for r in rows.select(group).where(F.col(group).isNotNull()).distinct().limit(most_groups + 1).collect())
+    folds = [r[0] for r in rows.select(group).distinct().limit(most_groups + 1).collect()]
     if len(folds) > most_groups:
         raise ValueError(f"more than {most_groups} groups to leave out")
-    others = F.array_except(F.array(*map(F.lit, folds)), F.array(group))
+    kind = rows.schema[group].dataType.simpleString()
+    others = F.array_except(F.array(*(F.lit(f).cast(kind) for f in folds)), F.array(group))
     train = merged.withColumn("_fold", F.explode(others))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf[label].notna()]
         x = np.column_stack([np.ones(len(known)), known[features].to_numpy(float)])
         w = fit(x, known[label].to_numpy(float), known["_n"].to_numpy(float))
-        return pd.DataFrame({group: [pdf["_fold"].iloc[0]], "_w": [w.tolist()]})
+        return pd.DataFrame({"_group": [pdf["_fold"].iloc[0]], "_w": [w.tolist()]})
 
-    kind = rows.schema[group].dataType.simpleString()
-    weights = train.groupBy("_fold").applyInPandas(learn, f"{group} {kind}, _w array<double>")
+    weights = train.groupBy("_fold").applyInPandas(learn, f"_group {kind}, _w array<double>")
     x = F.array(F.lit(1.0), *(F.col(f).cast("double") for f in features))
     dot = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), dot))))
-    return rows.join(weights, group).select(group, key, p.alias("p")).withColumn("keep", F.col("p") >= threshold)
+    nothing = F.array_repeat(F.lit(0.0), len(features) + 1)
+    scored = rows.join(weights, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_w", F.coalesce("_w", nothing))
+    return scored.select(group, key, p.alias("p")).withColumn("keep", F.col("p") >= threshold)

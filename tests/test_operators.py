@@ -261,6 +261,19 @@ def test_leave_one_out(spark):
     assert len(got) == 120 and sum(r.keep == bool(data[r.id][2]) for r in got) == 120
 
 
+def test_leave_one_out_keeps_every_row(spark):
+    schema = "g string, id int, a double, label double"
+    one = L.leave_one_out(spark.createDataFrame([("p", 1, 1.0, 1.0), ("p", 2, 0.0, 0.0)], schema), "g", "id", ["a"], "label").collect()
+    assert [(r.g, r.id, r.p, r.keep) for r in sorted(one)] == [("p", 1, 0.5, True), ("p", 2, 0.5, True)]
+    data = [("p", 1, 1.0, 1.0), ("q", 2, 0.0, 0.0), (None, 3, 1.0, 1.0), (None, 4, 0.0, None)]
+    got = {r.id: r.p for r in L.leave_one_out(spark.createDataFrame(data, schema), "g", "id", ["a"], "label").collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[3] > 0.5 > got[4]
+    named = {r.id: r.p for r in L.leave_one_out(spark.createDataFrame([(g or "none", *x) for g, *x in data], schema), "g", "id", ["a"], "label").collect()}
+    assert got == named
+    assert L.leave_one_out(spark.createDataFrame([], schema), "g", "id", ["a"], "label").collect() == []
+
+
 def test_review_rules(spark):
     x = spark.createDataFrame([("refuted", [], "see line 7", 1, 9), ("refuted", [], "nothing", 1, 9), ("refuted", [12], "", 1, 9), ("confirmed", None, "", 1, 9)], "verdict string, control_lines array<int>, reason string, lo int, hi int")
     assert [r.verdict for r in V.settle(x).collect()] == ["refuted", "uncertain", "uncertain", "confirmed"]
@@ -314,6 +327,8 @@ def test_catalog(spark, tmp_path):
     cards = spark.createDataFrame([("c", json.dumps({"a": {"refs": ["x#1"], "b": [{"refs_more": ["y#2", "z"]}]}, "refs": "no"}))], "id string, json string")
     refs = K.references(cards)
     assert rows(refs) == [("c", "a.b[0].refs_more", "y#2"), ("c", "a.b[0].refs_more", "z"), ("c", "a.refs", "x#1")]
+    odd = spark.createDataFrame([("d", "{"), ("e", None), ("f", "[[{\"refs\": [1, {\"refs\": [2]}], \"n\": {\"refsx\": []}}], 3]"), ("g", "7")], "id string, json string")
+    assert rows(K.references(odd)) == [("f", "[0][0].refs", "1"), ("f", "[0][0].refs", '{"refs":[2]}')]
     chunks = spark.createDataFrame([("x#1",), ("y#2",)], "id string")
     assert [r.ref for r in K.broken_references(refs, chunks).collect()] == ["z"]
     fam = spark.createDataFrame([("f", ["CWE-1", "CWE-2"]), ("g", ["CWE-3"])], "family string, cwe_ids array<string>")
