@@ -14,19 +14,20 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        # the tables are held, so that no other object gets the number of one that is known here
+        self._saved: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._saved[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
         for table in tables:
-            if path := self._paths.pop(id(table), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
+            if known := self._saved.pop(id(table), None):
+                p = jvm.org.apache.hadoop.fs.Path(known[1])
                 p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
