@@ -42,6 +42,8 @@ from marlstone.llm.components import components
 K_WORDS = 4
 #: Coordinates of a point.
 GROUPS = 128
+#: The largest count that a coordinate holds.
+MOST = 65535
 #: Points of a leaf.
 LEAF = 512
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -100,8 +102,9 @@ def cells(shingles: np.ndarray, band: int, differ: int, parts: int) -> np.ndarra
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts by group."""
-    return np.bincount((T.mix(shingles + _STEP) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts by group, in two bytes each; what exceeds them is known from the set's size."""
+    counts = np.bincount((T.mix(shingles + _STEP) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, MOST).astype(np.uint16)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -164,12 +167,13 @@ class Members:
         number = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
         self.ids, self.sizes = number("doc_id"), number("n")
         self.own = None if flat.field("component").null_count else number("component")
-        self.points = T.buffers(flat.field("point"))[0].view(np.int32).reshape(len(flat), GROUPS)
+        self.points = T.buffers(flat.field("point"))[0].view(np.uint16).reshape(len(flat), GROUPS)
+        self.excess = self.sizes - self.points.sum(axis=1, dtype=np.int64)
 
 
 def _bounds(x: Members, k: int, y: Members, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of point k of x and the points a:b of y: whether the bound allows a link, and the share of both sizes that they may have in common."""
-    common = np.minimum(x.points[k], y.points[a:b]).sum(axis=1, dtype=np.int64)
+    common = np.minimum(x.points[k], y.points[a:b]).sum(axis=1, dtype=np.int64) + np.minimum(x.excess[k], y.excess[a:b])
     both = x.sizes[k] + y.sizes[a:b]
     return common * (100 + percent) >= both * percent, common / both
 
@@ -240,14 +244,19 @@ def _leaves(live: DataFrame, points: DataFrame, work: Work, leaf: int) -> DataFr
     packed = work.save(packed.withColumn("leaf", F.expr(f"pos div {leaf}")))
     members = F.array_sort(F.collect_list(F.struct("pos", "doc_id", "n", "component", "point")))
     leaves = packed.groupBy("cell", "main", "leaf").agg(members.alias("members"), F.min("n").alias("least"))
-    return work.save(leaves.mapInArrow(_tops, "cell long, main boolean, leaf long, least long, top array<int>, members array<struct<pos: long, doc_id: long, n: long, component: long, point: binary>>"))
+    out = work.save(leaves.mapInArrow(_tops, "cell long, main boolean, leaf long, least long, top array<int>, members array<struct<pos: long, doc_id: long, n: long, component: long, point: binary>>"))
+    work.drop(packed)
+    return out
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the maximum of each coordinate."""
     for batch in batches:
         members = batch.column("members")
-        tops = [np.max([np.frombuffer(x["point"], np.int32) for x in m], axis=0) for m in members.to_pylist()]
+        x, tops = Members(members), []
+        for a, b in zip(x.first[:-1], x.first[1:], strict=True):
+            tops.append(x.points[a:b].max(axis=0).astype(np.int32))
+            tops[-1][0] += x.excess[a:b].max()  # a bound still, as the excess of both nodes counts there
         offsets = pa.array(np.arange(len(tops) + 1, dtype=np.int32) * GROUPS)
         top = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*tops, np.zeros(0, np.int32)]).astype(np.int32)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "main", "leaf", "least")), top, members], ["cell", "main", "leaf", "least", "top", "members"])
@@ -289,6 +298,7 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
     stars = heads.join(roots, "cell").select(F.col("head.doc_id").alias("a"), F.col("root.doc_id").alias("b"))
     best = leaves.select("members").mapInArrow(_best_earlier(percent), "a long, b long, share double")
     tried = work.save(_ordered(best.select("a", "b").unionByName(stars)))
+    work.drop(leaves)
     links = work.save(_confirmed(tried, sets, percent))
     found = components(links, work)
 
