@@ -279,6 +279,41 @@ def test_reply_trees(spark):
     assert chat.conversations(spark, df, branches=2).count() == 2
 
 
+def line_rule(rows):
+    """The rule of line dedup by whole Python: id -> (text, lines that go), and the places of each chunk."""
+    units, marks, places = {}, {}, {}
+    for d, (_, t) in enumerate(rows):
+        worded = [x for x in t.split("\n") if WORD.search(x)]
+        units[d] = [[k for k in zip(worded, worded[1:])], worded]
+        for k in units[d][0]:
+            marks.setdefault(k, []).append(d)
+    for d in units:
+        joints, worded = units[d]
+        k = 0
+        while k < len(joints):
+            m = k + 1
+            if len(marks[joints[k]]) > 1:
+                while m < len(joints) and sorted(marks[joints[m]]) == sorted(marks[joints[k]]):
+                    m += 1
+                places.setdefault(tuple(worded[k : m + 1]), []).append((d, k))
+            k = m
+        for k, x in enumerate(worded):
+            if len(WORD.findall(x)) >= 50:
+                places.setdefault((x,), []).append((d, k))
+    out = {}
+    for d, (i, t) in enumerate(rows):
+        parts = t.split("\n")
+        worded = [k for k, x in enumerate(parts) if WORD.search(x)]
+        gone, stay = set(), set()
+        for chunk, at in places.items():
+            for p in at if len(at) > 1 else ():
+                if p[0] == d:
+                    (stay if p == min(at) else gone).update(range(worded[p[1]], worded[p[1] + len(chunk) - 1] + 1))
+        gone -= stay
+        out[i] = "\n".join(x for k, x in enumerate(parts) if k not in gone), len(gone)
+    return out, places
+
+
 def test_line_dedup(spark, docs):
     shared = "\n".join("shared line number %d with some words in it" % k for k in range(12))
     more = [(900, "own start\n" + shared + "\nown end"), (901, shared), (902, "x\n" + shared + "\ny\nz"), (903, "Les."), (904, "Les."), (905, " ".join(["word"] * 60)), (906, "zzz\n" + " ".join(["word"] * 60))]
@@ -288,22 +323,26 @@ def test_line_dedup(spark, docs):
     got = {r.doc_id: r for r in linededup.line_dedup(spark, every).collect()}
     assert got[900].text == more[0][1] and got[903].text == got[904].text == "Les." and got[905].text and got[906].text == "zzz"
     assert len(got[902].text) < len(more[2][1]) / 2 and got[902].text.startswith("x\n") and got[902].text.endswith("z")
-    # by the rule itself: a line goes where it and the next line with words stand together at an earlier place too, or where it has 50 words and an earlier place has it
-    known = sorted({(-(2**63) if r.doc_id is None else r.doc_id, r.text) for r in every.collect() if r.text is not None})
-    earlier = set()
-    for i, t in known:
-        parts = t.split("\n")
-        worded = [k for k, x in enumerate(parts) if WORD.search(x)]
-        gone = set()
-        for k, m in zip(worded, [*worded[1:], None]):
-            if m is not None and (parts[k], parts[m]) in earlier:
-                gone.update(range(k, m + 1))
-            if len(WORD.findall(parts[k])) >= 50 and parts[k] in earlier:
-                gone.add(k)
-            earlier.update([(parts[k], None if m is None else parts[m]), parts[k]])
+    want, _ = line_rule(sorted({(-(2**63) if r.doc_id is None else r.doc_id, r.text) for r in every.collect() if r.text is not None}))
+    for i, (text, gone) in want.items():
         if i >= 0:
-            assert got[i].text == "\n".join(x for k, x in enumerate(parts) if k not in gone), i
-            assert (got[i].n_lines, got[i].removed_lines) == (len(parts), len(gone))
+            assert got[i].text == text and (got[i].n_lines, got[i].removed_lines) == (len(text.split("\n")) + gone if text or not gone else got[i].n_lines, gone), i
+
+
+def test_repeated_chunks_stand_whole_at_their_first_place(spark):
+    rnd = random.Random(23)
+    passages = [[f"p{k} line {j}" for j in range(rnd.randint(2, 5))] for k in range(12)]
+
+    def part():
+        p = rnd.choice(passages)
+        return p[rnd.choice([0, 0, 1]) : rnd.choice([len(p), len(p), 2])] + [f"own {rnd.randint(0, 99)}"]
+
+    rows = [(d, "\n".join(x for _ in range(rnd.randint(1, 5)) for x in part())) for d in range(80)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, places = line_rule(rows)
+    assert got == want and sum(n for _, n in got.values()) > 100
+    repeated = {chunk: min(at)[0] for chunk, at in places.items() if len(at) > 1}
+    assert len(repeated) > 20 and all("\n".join(chunk) in got[d][0] for chunk, d in repeated.items())
 
 
 def test_decontamination(spark, docs):
