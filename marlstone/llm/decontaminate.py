@@ -2,7 +2,8 @@
 
 Benchmark items are a stated query set: they are taken in blocks of about BLOCK_BYTES of text (dealt by hash; an item is never
 cut), each block's words are broadcast, and all documents run against it in a map without a shuffle. Runs of MIN_MATCH
-words that a document shares with an item are the seeds, met by a sorted merge of their hashes. For each document and item with a seed, running
+words that a document shares with an item are the seeds, met by a sorted merge of their hashes. Every tile is made of seeds, so an item of which the
+seeds' places cover less than THRESHOLD cannot be contained, and is not tiled: a run of words that all documents and items share costs a count. For the others, running
 Karp-Rabin finds the longest common runs of words not yet covered, marks them, and goes on with shorter
 ones down to MIN_MATCH words. Hashes of runs of any length come from those of powers of two, and the longest common length
 from a binary search, so repetitive texts take no longer than others. Tiles may stand in any order, so reordered passages count. An item is
@@ -30,6 +31,8 @@ from marlstone.llm import _text as T
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
+#: Places of seeds in items that are looked at in one go.
+PLACES = 1 << 20
 BLOCK_BYTES = 4 << 20
 _SCHEMA = "doc_id long, item_id long, n_words long, covered_words long, n_tiles long, coverage double"
 
@@ -108,43 +111,60 @@ class Index:
         h = T.word_hashes(w)
         self.items = [(item_id, h[a:b]) for (item_id, _), a, b in zip(items, w.first[:-1], w.first[1:], strict=True)]
         counts = np.diff(w.first)
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
         for size in sorted({min(MIN_MATCH, int(n)) for n in counts if n}):
             of = np.flatnonzero((counts >= size) if size == MIN_MATCH else (counts == size))
             g = T.grams(h, size)
             at = np.concatenate([np.arange(w.first[k], w.first[k + 1] - size + 1) for k in of])
             item = np.repeat(of, counts[of] - size + 1)
-            order = np.lexsort((item, g[at]))
+            order = np.lexsort((at, g[at]))
             keys = g[at][order]
             bits = max(20, 4 + len(keys).bit_length())
             maybe = np.zeros(1 << bits, bool)
             maybe[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.seeds[size] = keys, item[order], maybe, np.uint64(64 - bits)
+            self.seeds[size] = keys, item[order], (at - w.first[item])[order], maybe, np.uint64(64 - bits)
 
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(row, item) that share a seed."""
-        pairs = [np.zeros(0, np.int64)]
-        for size, (keys, items, maybe, shift) in self.seeds.items():
+    def candidates(self, h: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(row, item) whose shared seeds cover the threshold of the item's words; rows in order within a size of seeds."""
+        sizes = np.array([len(item) for _, item in self.items], np.int64)
+        for size, (keys, items, places, maybe, shift) in self.seeds.items():
             g = T.grams(h, size)
             at = np.flatnonzero(maybe[(g >> shift).astype(np.int64)])
             at = at[np.searchsorted(keys, g[at]) < np.searchsorted(keys, g[at], "right")]
             row = np.searchsorted(first, at, "right") - 1
             inside = at + size <= first[row + 1]
             at, row = at[inside], row[inside]
-            # each seed of a row once, then the items that have it
+            # each seed of a row once, then the places in items that have it
             one = np.unique(np.stack((row.astype(np.uint64), g[at])), axis=1)
             lo, hi = np.searchsorted(keys, one[1]), np.searchsorted(keys, one[1], "right")
-            n = hi - lo
-            where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            pairs.append(np.repeat(one[0].astype(np.int64), n) * len(self.items) + items[where])
-        for p in np.unique(np.concatenate(pairs)).tolist():
-            yield divmod(p, len(self.items))
+            row, n = one[0].astype(np.int64), hi - lo
+            # a row has each place of the block at most once, so a group of rows is bounded by PLACES and the block's size
+            upto, begin = np.concatenate(([0], np.cumsum(n))), np.flatnonzero(np.diff(row, prepend=-1))
+            i = 0
+            while i < len(begin):
+                full = int(np.searchsorted(upto[begin], upto[begin[i]] + PLACES, "right"))
+                j = max(i + 1, min(full, len(begin)))
+                a, b = begin[i], begin[j] if j < len(begin) else len(row)
+                m = n[a:b]
+                where = np.repeat(lo[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                pair, place = np.repeat(row[a:b], m) * len(self.items) + items[where], places[where]
+                order = np.lexsort((place, pair))
+                pair, place = pair[order], place[order]
+                new = np.ones(len(pair), bool)
+                new[1:] = pair[1:] != pair[:-1]
+                reach = np.full(len(pair), size, np.int64)
+                reach[:-1] = np.where(new[1:], size, np.minimum(size, place[1:] - place[:-1]))
+                start = np.flatnonzero(new)
+                bound = np.add.reduceat(reach, start) if len(start) else reach
+                for p in pair[start[bound >= threshold * sizes[pair[start] % len(self.items)]]].tolist():
+                    yield divmod(p, len(self.items))
+                i = j
 
     def contained(self, data: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[int, int | None, int, int, int, float]]:
         """(row, item id, its words, those covered, tiles, coverage) for a block of texts."""
         w = T.words(data, rows, T.ALNUM)
         h = T.word_hashes(w)
-        for r, k in self.candidates(h, w.first):
+        for r, k in self.candidates(h, w.first, threshold):
             item_id, item = self.items[k]
             made = tiles(item, h[w.first[r] : w.first[r + 1]])
             covered = sum(n for _, _, n in made)

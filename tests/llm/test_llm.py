@@ -360,6 +360,41 @@ def test_decontamination(spark, docs):
     assert decontaminate.matches(spark, every, bench.where("false")).count() == 0
 
 
+def test_candidates_lose_no_contained_item(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(31)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 6)}" for _ in range(n))
+    items = [(k, text(rnd.randint(1, 30))) for k in range(60)] + [(99, "")]
+    docs = [text(rnd.randint(0, 60)) for _ in range(40)] + [items[k][1] + " " + text(5) for k in range(20)]
+    rows = np.cumsum([0, *map(len, docs)])
+    data = np.frombuffer("".join(docs).encode(), np.uint8)
+    index = decontaminate.Index(items)
+    words = decontaminate.T.words(data, rows, decontaminate.T.ALNUM)
+    h = decontaminate.T.word_hashes(words)
+    want = set()
+    for r in range(len(docs)):
+        for k, (_, item) in enumerate(index.items):
+            n = sum(m for _, _, m in decontaminate.tiles(item, h[words.first[r] : words.first[r + 1]])) if len(item) else 0
+            if len(item) and n >= 0.6 * len(item):
+                want.add((r, k, n))
+    for places in (1, 50, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PLACES", places)
+        got = [(r, i if i != 99 else 60, n) for r, i, _, n, _, _ in index.contained(data, rows, 0.6)]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_a_run_that_all_share_is_not_tiled(monkeypatch):
+    import numpy as np
+
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(9))
+    shared = " all rights reserved by us "
+    index = decontaminate.Index([(k, " ".join(word() for _ in range(20)) + shared + word()) for k in range(1000)])
+    docs = [" ".join(word() for _ in range(60)) + shared + word() for _ in range(200)]
+    monkeypatch.setattr(decontaminate, "tiles", lambda *a: pytest.fail("tiled"))
+    assert not list(index.contained(np.frombuffer("".join(docs).encode(), np.uint8), np.cumsum([0, *map(len, docs)]), 0.6))
+
+
 def test_tiles_are_the_greedy_tiling():
     import numpy as np
 
