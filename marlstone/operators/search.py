@@ -24,14 +24,18 @@ def _weighted(w: float) -> Callable[[Column], Column]:
     return lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
 
 
+def tokens(weights: dict[str, float]) -> Column:
+    """array<struct<term, w>> of the tokens of all columns."""
+    return F.concat(*(F.transform(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), ""), _weighted(w)) for c, w in weights.items()))
+
+
 def bm25(docs: DataFrame, key: str, weights: dict[str, float], queries: DataFrame, k: int) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query (query_id, terms array).
 
     Only the queries' terms are read out of the index, so the shuffle carries their postings alone. A query's
     candidates are ranked in a window whose limit Spark applies before the shuffle too.
     """
-    parts = [F.transform(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), ""), _weighted(w)) for c, w in weights.items()]
-    return bm25_tokens(docs.select(key, F.concat(*parts).alias("ts")), key, queries, k)
+    return bm25_tokens(docs.select(key, tokens(weights).alias("ts")), key, queries, k)
 
 
 def bm25_tokens(docs: DataFrame, key: str, queries: DataFrame, k: int) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
+from marlstone.operators import stored_index
 from marlstone.operators.search import bm25, search_lines
 from marlstone.plans import query
 from marlstone.sources.tables import list_files, table
+from marlstone.sources.work import shared_folder
 
 #: documents to (doc_id, n, line) in the other dialect.
 SQL_LINES = r"""
@@ -182,7 +186,7 @@ scored AS (
   SELECT query_id, doc_id, sum(CASE WHEN ln((big_n - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((big_n - n + 0.5) / (n + 0.5)) END
     * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
   FROM tf JOIN df USING (term) JOIN wanted USING (term) CROSS JOIN stats GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored {found}) WHERE rank <= 5
 """
 
 
@@ -195,11 +199,30 @@ def _top(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return bm25(docs, "doc_id", {"text": 1.0, "source": 4.0}, queries, 5).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("bm25_topk", _BM25.format(where=""))
+@query("bm25_topk", _BM25.format(where="", found=""))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _top(table(spark, d, "documents"), _queries(spark, d))
 
 
-@query("bm25_filtered", _BM25.format(where="WHERE lang = 'en'"))
+@query("bm25_filtered", _BM25.format(where="WHERE lang = 'en'", found=""))
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _top(table(spark, d, "documents").where("lang = 'en'"), _queries(spark, d))
+
+
+def _stored(spark: SparkSession, d: str, allowed: DataFrame | None = None) -> DataFrame:
+    """The index is written in two appends, of which the second skips what is in already; the search reads no text of documents."""
+    docs, path = table(spark, d, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    for part in (docs.where("lang = 'en'"), docs):
+        stored_index.append(part, "doc_id", {"text": 1.0, "source": 4.0}, path)
+    found = stored_index.search(spark, path, _queries(spark, d), 5, allowed)
+    return found.select("query_id", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_stored", _BM25.format(where="", found=""))
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d)
+
+
+@query("bm25_stored_within", _BM25.format(where="", found="WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def bm25_stored_within(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d, table(spark, d, "labels").where("quality = 1").select("doc_id"))
