@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.text import f1, ratio, wilson
+from marlstone.operators.intervals import greatest_covering, least_holding, least_overlapping
 
 SLACK = 2
 
@@ -26,8 +27,11 @@ def outcomes(findings: DataFrame, cases: DataFrame, slack: int = SLACK) -> DataF
     """
     spans = findings.select("app", "finding_ord", "family", "file", F.explode("ranges").alias("r")).select("app", "finding_ord", "family", "file", "r.lo", "r.hi")
     c = cases.select("app", "family", "file", F.col("lo").alias("a"), F.col("hi").alias("b"), "case_ord", "vulnerable")
-    near = spans.join(c, ["app", "family", "file"]).where(overlap("lo", "hi", "a", "b", slack))
-    first = near.groupBy("app", "finding_ord").agg(F.min(F.struct("case_ord", "vulnerable")).alias("c"))
+    # the slack widens the findings' spans, so that overlapping is all that is asked
+    spans = spans.select("app", "finding_ord", "family", "file", (F.col("lo") - slack).alias("lo"), (F.col("hi") + slack).alias("hi"))
+    place = ["app", "family", "file"]
+    met = least_overlapping(spans, c, place, "lo", "hi", "a", "b", F.struct("case_ord", "vulnerable"))
+    first = spans.join(met, [*place, "lo", "hi"]).groupBy("app", "finding_ord").agg(F.min("least").alias("c"))
     rank = F.row_number().over(Window.partitionBy("app", "c.case_ord").orderBy("finding_ord"))
     first = first.select("app", "finding_ord", F.col("c.case_ord").alias("case_ord"), F.col("c.vulnerable").alias("vulnerable"), rank.alias("k"))
     out = findings.select("app", "finding_ord", "family").join(first, ["app", "finding_ord"], "left")
@@ -74,14 +78,14 @@ def pairs(hits: DataFrame) -> DataFrame:
 def first_enclosing(points: DataFrame, spans: DataFrame, file: str = "file") -> DataFrame:
     """points (file, point_ord, line) with the first span (file, span_ord, lo, hi, name) that holds them, else `file:line`."""
     s = spans.select(file, "span_ord", "lo", "hi", "name")
-    near = points.join(s, [file]).where("line between lo and hi").groupBy("point_ord").agg(F.min_by("name", F.struct("lo", "span_ord")).alias("name"))
-    return points.join(near, "point_ord", "left").withColumn("name", F.coalesce("name", F.concat_ws(":", F.col(file).cast("string"), F.col("line").cast("string"))))
+    near = least_holding(points, s, [file], "line", "lo", "hi", F.struct("lo", "span_ord", "name")).select(file, "line", F.col("least.name").alias("name"))
+    return points.join(near, [file, "line"], "left").withColumn("name", F.coalesce("name", F.concat_ws(":", F.col(file).cast("string"), F.col("line").cast("string"))))
 
 
 def latest_covering(needs: DataFrame, reads: DataFrame) -> DataFrame:
     """Each need (need_id, run, lo, hi) with the latest read (run, read_ord, a, b) that covers its span, or null."""
-    over = needs.join(reads, "run").where("a <= lo and b >= hi").groupBy("need_id").agg(F.max("read_ord").alias("read_ord"))
-    return needs.join(over, "need_id", "left")
+    over = greatest_covering(needs, reads, ["run"], "lo", "hi", "a", "b", F.col("read_ord"))
+    return needs.join(over.withColumnRenamed("greatest", "read_ord"), ["run", "lo", "hi"], "left")
 
 
 def evidence_faults(evidence: DataFrame, events: DataFrame) -> DataFrame:

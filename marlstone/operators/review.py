@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators.intervals import least_holding
+
 
 def near_protected(candidates: DataFrame, protected: DataFrame, distance: int = 3) -> DataFrame:
     """candidates (candidate_id, file, family, line) with whether a protected sink of their family is so near."""
-    p = protected.select("file", "family", F.col("line").alias("p_line"))
-    hit = candidates.join(p, ["file", "family"]).where(F.abs(F.col("line") - F.col("p_line")) <= distance).select("candidate_id").distinct()
-    return candidates.join(hit.withColumn("protected", F.lit(True)), "candidate_id", "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
+    # each sink is said of every line in its reach, once, so that many sinks at one place are one row
+    reach = F.explode(F.sequence(F.col("line") - distance, F.col("line") + distance)).alias("line")
+    hit = protected.select("file", "family", "line").distinct().select("file", "family", reach).distinct()
+    return candidates.join(hit.withColumn("protected", F.lit(True)), ["file", "family", "line"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
 
 
 def outside_handlers(candidates: DataFrame, handlers: DataFrame) -> DataFrame:
     """candidates (file, line) that lie in no seeded handler (file, lo, hi)."""
-    return candidates.join(handlers, (candidates["file"] == handlers["file"]) & candidates["line"].between(handlers["lo"], handlers["hi"]), "left_anti")
+    inside = least_holding(candidates, handlers, ["file"], "line", "lo", "hi", F.lit(1)).select("file", "line")
+    return candidates.join(inside, ["file", "line"], "left_anti")
 
 
 def route(x: DataFrame) -> DataFrame:
