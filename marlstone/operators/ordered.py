@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from marlstone.sources.work import settled
+
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, with how many it stands for. Ranked in a window whose limit Spark applies before the shuffle."""
@@ -18,20 +24,83 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w.orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def in_order(rows: DataFrame, group: list[str], order: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """What `fold` makes of each group's rows (without the group's columns) in order; the group's columns come first in the result.
+
+    Groups are dealt out and sorted by the shuffle, which spills, and reach `fold` as a stream, so a group is never held: memory is what
+    `fold` keeps. A null group is a group. For rules where a row depends on all before it; a group still passes through one task.
+    """
+    n = len(group)
+    names = [*group, *(f.name for f in StructType.fromDDL(schema))]
+    out = StructType([*(rows.schema[g] for g in group), *StructType.fromDDL(schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = ((*key, *x) for key, of_key in groupby(stream, key=lambda r: r[:n]) for x in fold(r[n:] for r in of_key))
+        types = to_arrow_schema(out)
+        while part := list(islice(made, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
+
+    rest = [c for c in rows.columns if c not in group]
+    return rows.select(*group, *rest).repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, out)
+
+
 def leaders(rows: DataFrame, group: list[str], line: str, distance: int, order: str) -> DataFrame:
     """Rows kept by a greedy rule: one goes if a kept row before it in its group is within a distance.
 
-    (group, line) of the kept rows. Repeats of a (group, line) are dropped before they meet, so a hot group holds at most
-    its different lines; in line order the last kept one alone decides, which a fold in O(n) follows.
-    In any other order all kept ones are looked at.
+    (group, line) of the kept rows; a null line is no place and is not kept. Repeats of a (group, line) are dropped before they meet. In line order the last kept
+    line alone decides. In any other order, lines are cut into parts of distance + 1, of which each holds one kept line at most, so three
+    looks decide, whatever was kept before.
+    """
+    first = rows.where(F.col(line).isNotNull()).groupBy(*group, F.col(line).cast("long").alias(line)).agg(F.min(order).alias("_order"))
+
+    def rising(lines: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for n, _ in lines:
+            if last is None or n - last > distance:
+                last = n
+                yield (n,)
+
+    def any_order(lines: Iterator[tuple]) -> Iterator[tuple]:
+        kept: dict[int, int] = {}
+        for n, _ in lines:
+            part = n // (distance + 1)
+            if not any(abs(n - kept[p]) <= distance for p in (part - 1, part, part + 1) if p in kept):
+                kept[part] = n
+                yield (n,)
+
+    by, fold = ([line], rising) if order == line else (["_order", line], any_order)
+    return in_order(first, group, by, fold, f"`{line}` long")
+
+
+def digests(rows: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
+    """(group, sha256) of a group's texts in order, one after the other; null texts add nothing. Constant memory."""
+
+    def fold(texts: Iterator[tuple]) -> Iterator[tuple]:
+        h = hashlib.sha256()
+        for r in texts:
+            h.update((r[0] or "").encode())
+        yield (h.hexdigest(),)
+
+    order_only = [c for c in order if c not in group]
+    return in_order(rows.select(*group, F.col(text).alias("_text"), *order_only), group, order_only, fold, "sha256 string")
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """row_number() of a group's rows in order, for groups too large for one task.
+
+    The rows are dealt by range over (group, order), which splits a hot group, and written; a row's number is what the parts before its own
+    hold of its group, and its place in its part. Runs a job when called.
     """
-    g = rows.groupBy(*group, line).agg(F.min(order).alias("o")).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("o", F.col(line).cast("long").alias("l")))).alias("x"))
-    none = F.array().cast("array<bigint>")
-    if order == line:
-        keep = lambda acc, r: F.when((F.size(acc) > 0) & (r["l"] - F.element_at(acc, -1) <= distance), acc).otherwise(F.concat(acc, F.array(r["l"])))
-    else:
-        keep = lambda acc, r: F.when(F.exists(acc, lambda u: F.abs(u - r["l"]) <= distance), acc).otherwise(F.concat(acc, F.array(r["l"])))
-    return g.select(*group, F.explode(F.aggregate("x", none, keep)).alias(line))
+    x = settled(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    held = x.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return x.withColumn("_place", place).join(held, same).select(*rows.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
 def repeated_actions(rows: DataFrame, run: str, action: list[str], order: str) -> DataFrame:
@@ -65,18 +134,29 @@ def fit(turns: DataFrame, run: str, order: str, text: str, keep: int, terse: int
 
 
 def pack(pieces: Column, limit: int, joiner: str = "\n") -> Column:
-    """Pieces packed greedily in order into texts of at most `limit` characters with their joiners; a longer piece stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["open"]) + len(joiner) + F.length(p) <= limit
-        return (
-            F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), p.alias("open")))
-            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(joiner), p).alias("open")))
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open")))
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    """Pieces packed greedily in order into texts of at most `limit` characters with their joiners; a longer piece stands alone.
+
+    In time linear in the text. Null pieces are empty ones; a null array gives null.
+    """
+
+    def texts(of: Iterable[str | None]) -> Iterator[str]:
+        held: list[str] = []
+        size = 0
+        for p in of:
+            p = p or ""
+            if held and size + len(joiner) + len(p) > limit:
+                yield joiner.join(held)
+                held, size = [], 0
+            size += len(p) + (len(joiner) if held else 0)
+            held.append(p)
+        if held:
+            yield joiner.join(held)
+
+    @F.pandas_udf("array<string>")
+    def packed(s: pd.Series) -> pd.Series:
+        return s.map(lambda of: None if of is None else list(texts(of)))
+
+    return packed(pieces)
 
 
 #: What a text is cut at, coarsest first, and what its pieces are joined with again.

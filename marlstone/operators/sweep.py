@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.text import TAGS, UNSEEN
+from marlstone.operators.ordered import numbered
 
 # How many windows a run may look at, lines of a function that is shown on request, and requests for them.
 MAX_WINDOWS = 80
@@ -67,8 +68,8 @@ def argument_errors(calls: DataFrame) -> DataFrame:
 def budgeted_windows(windows: DataFrame, first: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     """windows (app, path, line_start, line_end) in the order of a run: files of `first` (app, path) before others, then by place; those over the cap are marked skipped, not dropped."""
     x = windows.join(first.select("app", "path").distinct().withColumn("_first", F.lit(0)), ["app", "path"], "left")
-    k = F.row_number().over(Window.partitionBy("app").orderBy(F.coalesce("_first", F.lit(1)), "path", "line_start"))
-    return x.withColumn("ord", k).withColumn("skipped", k > most).drop("_first")
+    x = numbered(x.withColumn("_first", F.coalesce("_first", F.lit(1))), ["app"], ["_first", "path", "line_start"], "ord")
+    return x.withColumn("ord", F.col("ord").cast("int")).withColumn("skipped", F.col("ord") > most).drop("_first")
 
 
 def coverage(ordered: DataFrame) -> DataFrame:
@@ -186,9 +187,8 @@ def idioms(handlers: DataFrame, reached: DataFrame, helpers: DataFrame, most_hel
 def assembled(kept: DataFrame, shown: DataFrame, cwe: dict[str, str]) -> DataFrame:
     """Findings of candidates (app, candidate, event_id, family, path, line, title, reason), numbered in each application, with the cited line's text (shown: event_id, n, text) as evidence."""
     ids = F.create_map(*(F.lit(x) for kv in cwe.items() for x in kv))
-    no = F.row_number().over(Window.partitionBy("app").orderBy("candidate"))
     text = shown.groupBy("event_id", F.col("n").alias("line")).agg(F.min("text").alias("_text"))
-    x = kept.withColumn("_no", no).join(text, ["event_id", "line"], "left")
+    x = numbered(kept, ["app"], ["candidate"], "_no").join(text, ["event_id", "line"], "left")
     evidence = F.struct(F.col("path").alias("file"), F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.coalesce("_text", F.lit("")).alias("excerpt"), F.col("event_id").alias("tool_event_id"))
     return x.select(
         "app", F.format_string("F%03d", "_no").alias("finding_id"), F.format_string("H%03d", "_no").alias("hypothesis_id"), "title", F.try_element_at(ids, F.col("family")).alias("cwe_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
 from marlstone.operators import stored_index
+from marlstone.operators.ordered import digests
 from marlstone.operators.search import bm25, search_lines
 from marlstone.plans import query
 from marlstone.sources.tables import list_files, table
@@ -122,8 +123,8 @@ def canary_leak(spark: SparkSession, d: str) -> DataFrame:
 def manifest_hash(spark: SparkSession, d: str) -> DataFrame:
     """One digest a source over the sorted `id:digest` lines."""
     line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256), F.lit("\n"))
-    rows = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("x"))
-    return rows.select("source", F.sha2(F.array_join(F.transform("x", lambda r: r["l"]), ""), 256).alias("combined"))
+    rows = table(spark, d, "documents").select("source", "doc_id", line.alias("line"))  # texts become digests before the shuffle
+    return digests(rows, ["source"], ["doc_id"], "line").withColumnRenamed("sha256", "combined")
 
 
 @query("cwe_normalize", "SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN 'other' ELSE 'CWE-' || p_size END AS cwe, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_size END AS number FROM part")
