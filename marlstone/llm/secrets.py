@@ -54,7 +54,7 @@ QUIET_PATHS = r"(?i)(test|spec|example|sample|fixture|mock|docs?/|vendor|lock)"
 FEATURES = ["length", "changes", "digits", "uppers", "lowers", "marks", "distinct", "hexes", "dictionary", "quiet_path", "key_word", "assigned", "plain_word", "known_prefix", "holds_plain", "url_user", "quoted", "key_after", "plain_after"]
 
 
-def features(c: str, before: str, before2: str, path: str, after: str, quoted: str) -> list[Column]:
+def features(c: str, before: str, before2: str, path: str, after: str = "after", quoted: str = "quoted") -> list[Column]:
     """The feature columns, in the order of FEATURES, of a candidate with the two words before it, those behind it, its path and whether a quote opens it."""
     s, n = F.col(c), F.greatest(F.length(c), F.lit(1)).cast("double")
     near = F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")))
@@ -164,7 +164,10 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
-    """The forest from findings (candidate, before, before2, after, quoted, path, label)."""
+    """The forest from findings (candidate, before, before2, path, label, and after and quoted where they are known)."""
+    for name, unknown in (("after", F.lit("")), ("quoted", F.lit(False))):
+        if name not in findings.columns:
+            findings = findings.withColumn(name, unknown)
     x = findings.select(array_to_vector(F.array(*features("candidate", "before", "before2", "path", "after", "quoted"))).alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(x)
 
