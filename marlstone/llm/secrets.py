@@ -145,7 +145,6 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = SEE
         (F.substring(alnum, 1, 32), pick("c", common), pick("c2", common), 1, told),
         (F.substring(h("x"), 1, 40), F.lit(""), F.lit(""), 1, told),
         (F.substring(digits, 1, 16), pick("c", ["", *common]), pick("c2", ["", *common]), 0, F.when(i % 4 < 2, told).otherwise(some)),
-        (F.concat(word, F.substring(digits, 1, 2)), pick("c", ["", *common]), pick("c2", ["", *common]), 0, told),
         (F.upper(F.substring(h("x"), 1, 40)), pick("c", ["", *common]), pick("c2", common), 1, told),
         (F.substring(h("x"), 1, 32), pick("c", ["", *common]), pick("c2", common), 1, told),
         (F.substring(h("x"), 1, 40), pick("c", common), pick("c2", common), 0, F.when(i % 4 < 2, plain_told).otherwise(some)),
