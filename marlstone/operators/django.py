@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import values as V
-from marlstone.operators.code import enforces, helper_strength, owner_columns_of
+from marlstone.operators.code import FACTS_AT_ONCE, enforces, helper_strength, owner_columns_of
 from marlstone.operators.flow import called
-from marlstone.sources.work import settled
+from marlstone.sources.work import dealt, settled
 
 _SCHEMA = "app string, path string, kind string, name string, line_start int, line_end int, detail map<string,string>"
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -98,10 +99,11 @@ def view_facts(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for a, p, t in zip(pdf["app"], pdf["path"], pdf["text"], strict=True) for r in _rows(a, p, t or "")]
-            yield pd.DataFrame(rows, columns=["app", "path", "kind", "name", "line_start", "line_end", "detail"])
+            rows = (r for a, p, t in zip(pdf["app"], pdf["path"], pdf["text"], strict=True) for r in _rows(a, p, t or ""))
+            while part := list(islice(rows, FACTS_AT_ONCE)):
+                yield pd.DataFrame(part, columns=["app", "path", "kind", "name", "line_start", "line_end", "detail"])
 
-    return files.select("app", "path", "text").mapInPandas(run, _SCHEMA)
+    return dealt(files.select("app", "path", "text"), "app", "path").mapInPandas(run, _SCHEMA)
 
 
 def _d(k: str) -> Column:

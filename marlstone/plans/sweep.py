@@ -133,7 +133,9 @@ def top_helpers(spark: SparkSession, d: str) -> DataFrame:
 )
 def authz_seeds(spark: SparkSession, d: str) -> DataFrame:
     known = _known(spark, d)
-    return W.seeds(C.idor_candidates(known), C.missing_auth(known), applications(spark, d), C.routes(known))
+    handlers = C.routes(known)
+    used = C.accesses(handlers, C.owned_models(known))
+    return W.seeds(C.idor_candidates(known, handlers, used), C.missing_auth(known, handlers, used=used), applications(spark, d), handlers)
 
 
 @query(
