@@ -178,6 +178,8 @@ def source_marks(s: pd.Series) -> pd.Series:
 
 def code_lines(text: Column | str) -> Column:
     """Numbers of the lines that hold anything but comments, strings and layout; null for a text whose tokens cannot be told."""
+    # the text as in without_talk, so that both read the marks that are made once
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     code = F.filter(source_marks(text), lambda m: m["kind"] == "code")
     return F.array_sort(F.array_distinct(F.flatten(F.transform(code, lambda m: F.sequence(m["line"], m["last"])))))
 

@@ -13,7 +13,7 @@ from marlstone.operators import documents as D
 from marlstone.plans import query
 from marlstone.sources import tables as S
 from marlstone.sources.tables import table
-from marlstone.sources.work import shared_folder
+from marlstone.sources.work import dealt, shared_folder
 
 
 @query(
@@ -120,7 +120,7 @@ def structured_validity(spark: SparkSession, d: str) -> DataFrame:
 def code_line_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Source made of parts' names: comments and texts that stand alone are taken out, strings in use are not."""
     source = F.concat(F.lit("def f():  # "), "p_name", F.lit('\n    """'), "p_type", F.lit("\n    more\"\"\"\n    # "), "p_brand", F.lit('\n    x = """# '), "p_brand", F.lit('\n    kept""" + y\n\n    return x'))
-    x = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" ("))).otherwise(source).alias("text"))
+    x = dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" ("))).otherwise(source).alias("text"))
     return x.select("p_partkey", F.array_join(K.code_lines("text"), ",").alias("code"), K.without_talk("text").alias("shown"))
 
 

@@ -18,3 +18,11 @@ def test_like_rows_are_not_taken_for_few(spark):
     """Written rows that pack well must not be broadcast for their files' size."""
     x = settled(spark.range(200_000).select(F.col("id") % 7, F.lit("def f():\n    return 1\n" * 8).alias("text")))
     assert x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 30_000_000
+
+
+def test_parts_are_dealt_out_and_their_source_is_read_once(spark):
+    import __spark_entry__ as E
+
+    x = E.queries()["code_line_numbers"](spark, "/root/testdata/sf0.001")
+    assert x.rdd.getNumPartitions() > 1
+    assert str(x._jdf.queryExecution().optimizedPlan()).count("source_marks(") == 1
