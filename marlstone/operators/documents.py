@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from marlstone.operators.ordered import TEXTS_AT_ONCE
 from marlstone.sources.tables import lines
 
 
@@ -113,17 +116,19 @@ class _Sections(HTMLParser):
 
 
 def sections_html(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, section, title, body) of whole pages, a batch at a time."""
-    kind = pages.schema[key].dataType.simpleString()
+    """(key, section, title, body) of whole pages; so many of an Arrow batch are Python's at a time."""
+    out = StructType([pages.schema[key], *StructType.fromDDL("section int, title string, body string")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(out)
+        for part in (batch.slice(i, TEXTS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, TEXTS_AT_ONCE)):
             rows = []
-            for k, raw in zip(pdf[key], pdf[html], strict=True):
+            for k, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 p = _Sections()
                 p.feed(raw or "")
                 p.close()
                 rows += [(k, i, t, b) for i, (t, b) in enumerate(p.sections())]
-            yield pd.DataFrame(rows, columns=[key, "section", "title", "body"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], out.names)
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, section int, title string, body string")
+    return pages.select(key, html).mapInArrow(run, out)
