@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.sources.work import dealt
+
 
 def span_cells(lo: Column, hi: Column) -> Column:
     """The cells (width: its power of two, cell) whose disjoint union is lo..hi, both included."""
@@ -66,16 +68,21 @@ def greatest_covering(needs: DataFrame, spans: DataFrame, keys: list[str], lo: s
 
     In a cell that holds lo, the spans that reach hi are those with a larger end, so a running maximum from the farthest
     end down answers all needs of the cell at once. A cell's rows are distinct ends, not spans or needs.
+
+    Spans are dealt out and equal ones are one before their cells are made, and cells are dealt out once for all that follows: a
+    task has a fixed share of the spans and not those of a part of a file or of so many packed bytes, of which cells are many times as many.
     """
-    needs = needs.select(*keys, lo, hi).where(F.col(lo) <= F.col(hi)).distinct()
-    cells = spans.select(*keys, F.col(b).alias("_end"), value.alias("_v"), F.explode(span_cells(F.col(a), F.col(b))).alias("_c"))
-    cells = cells.groupBy(*keys, F.col("_c.width").alias("width"), F.col("_c.cell").alias("cell"), "_end").agg(F.max("_v").alias("_v"))
+    needs = dealt(needs.select(*keys, lo, hi).where(F.col(lo) <= F.col(hi)), *keys, lo, hi).distinct()
+    spans = dealt(spans.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_end"), value.alias("_v")), *keys, "_a", "_end").groupBy(*keys, "_a", "_end").agg(F.max("_v").alias("_v"))
+    cells = spans.select(*keys, "_end", "_v", F.explode(span_cells(F.col("_a"), F.col("_end"))).alias("_c"))
+    cells = cells.select(*keys, "_c.width", "_c.cell", "_end", "_v")
     widths = cells.groupBy(*keys).agg(F.collect_set("width").alias("_widths"))
     asked = needs.join(widths, keys).select(*keys, lo, hi, F.explode("_widths").alias("width"))
     asked = asked.withColumn("cell", F.call_function("shiftright", F.col(lo).cast("long"), F.col("width")))
-    ends = asked.select(*keys, "width", "cell", F.col(hi).alias("_end")).distinct()
+    ends = asked.select(*keys, "width", "cell", F.col(hi).alias("_end"))
     where = [*keys, "width", "cell"]
     rows = cells.withColumn("_asks", F.lit(False)).unionByName(ends.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    rows = dealt(rows, *where).groupBy(*where, "_end", "_asks").agg(F.max("_v").alias("_v"))
     far = Window.partitionBy(*where).orderBy(F.desc("_end"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
     best = rows.withColumn("_v", F.max("_v").over(far)).where("_asks and _v is not null").select(*where, F.col("_end").alias(hi), "_v")
-    return asked.join(best, [*where, hi]).groupBy(*keys, lo, hi).agg(F.max("_v").alias("greatest"))
+    return dealt(asked, *where, hi).join(dealt(best, *where, hi), [*where, hi]).groupBy(*keys, lo, hi).agg(F.max("_v").alias("greatest"))
