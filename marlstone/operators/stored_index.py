@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.operators.search import FLOOR, K1, NORM, tokens
+from marlstone.operators.search import FLOOR, K1, NORM, best, tokens
+from marlstone.sources.work import dealt
 
 BUCKETS = 64
 CHUNK_DOCS = 128
@@ -65,18 +66,20 @@ def append(docs: DataFrame, key: str, weights: dict[str, float], path: str, chun
     known = _stored(spark, path, "documents")
     if known is not None:
         new = new.join(known.select(F.col("key").alias(key)), key, "left_anti")
-    new = new.select(F.col(key).alias("key"), tokens(weights).alias("ts"))
-    new.select("key", F.size("ts").cast("long").alias("length")).write.parquet(f"{path}/documents/segment={name}")
+    new = new.select(F.col(key).alias("key"), *weights)
+    new.select("key", F.size(tokens(weights)).cast("long").alias("length")).write.parquet(f"{path}/documents/segment={name}")
     own = spark.read.parquet(f"{path}/documents/segment={name}")
     corpus, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).head()
     if not corpus:
         return
+    # documents are dealt out by chunk, so that neither frequencies nor blocks need another exchange
     chunk = F.pmod(F.xxhash64("key"), F.lit(-(-corpus // chunk_docs)))
-    tf = new.select("key", F.size("ts").cast("long").alias("length"), F.explode("ts").alias("t")).groupBy("key", "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
-    blocks = tf.groupBy("term", chunk.alias("chunk")).agg(
+    ts = dealt(new.withColumn("chunk", chunk), "chunk").select("chunk", "key", tokens(weights).alias("ts"))
+    tf = ts.select("chunk", "key", F.size("ts").cast("long").alias("length"), F.explode("ts").alias("t")).groupBy("chunk", "key", "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    blocks = tf.groupBy("term", "chunk").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("postings")
     )
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "chunk").sortWithinPartitions("bucket", "term", "chunk")
+    blocks = blocks.withColumn("bucket", _bucket(F.col("term"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "chunk")
     blocks.write.partitionBy("bucket").parquet(f"{path}/blocks/segment={name}")
     spark.createDataFrame([(name, corpus, total)], _SEGMENTS).coalesce(1).write.mode("append").parquet(f"{path}/segments")
 
@@ -127,7 +130,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, allowed:
         return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, key long, score double, rank int")
     blocks, asked = _wanted(spark, path, queries)
     live = live_chunks(blocks, asked, _floors(blocks, asked, k, allowed)).where("live").drop("live")
-    found = _postings(blocks.join(asked, "term").join(live, ["query_id", "segment", "chunk"], "left_semi"), allowed, "query_id", "idf", "mean")
-    scored = found.groupBy("query_id", "key").agg(F.sum(_share(F.col("tf"), F.col("length"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "key"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    # a chunk's blocks are dealt out as they are: its documents are scored for all queries where they are, and a part passes on its best alone
+    live = live.groupBy("segment", "chunk").agg(F.collect_set(F.struct("query_id")).alias("live"))
+    terms = asked.groupBy("term", "idf", "mean").agg(F.collect_set(F.struct("query_id")).alias("asked"))
+    x = blocks.join(F.broadcast(terms), "term").join(live, ["segment", "chunk"]).withColumn("asked", F.array_intersect("asked", "live")).where(F.size("asked") > 0)
+    found = _postings(dealt(x, "segment", "chunk") if allowed is None else x, allowed, "term", "idf", "mean", "asked")
+    shares = found.select("key", "term", _share(F.col("tf"), F.col("length")).alias("share"), "asked")
+    shares = shares if allowed is None else dealt(shares, "key")
+    return best(shares.sortWithinPartitions("key", "term"), "key", k)

@@ -78,3 +78,12 @@ def test_a_search_reads_no_text(spark, corpus, queries):
     I.append(corpus, "id", W, path)
     files = I.search(spark, path, queries, 3).inputFiles()
     assert files and all("/blocks/" in f or "/segments/" in f or "/documents/" in f for f in files)
+
+
+def test_a_search_deals_no_scores_out_by_query_and_document(spark, corpus, queries):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    I.append(corpus, "id", W, path, 16)
+    for allowed in (None, corpus.where("id % 2 = 0").select("id")):
+        found = I.search(spark, path, queries, 3, allowed)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and not any("Aggregate [query_id" in line and "key#" in line.split("]")[0] for line in plan.splitlines())
