@@ -10,17 +10,15 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import values as V
-from marlstone.operators.code import FACTS_AT_ONCE, enforces, helper_strength, owner_columns_of
+from marlstone.operators.code import enforces, helper_strength, owner_columns_of, parsed
 from marlstone.operators.flow import called
-from marlstone.sources.work import dealt, settled
+from marlstone.sources.work import apart, settled
 
 _SCHEMA = "app string, path string, kind string, name string, line_start int, line_end int, detail map<string,string>"
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -96,14 +94,7 @@ def _rows(app: str, path: str, text: str) -> Iterator[tuple]:
 
 def view_facts(files: DataFrame) -> DataFrame:
     """Facts of files (app, path, text): classes, top functions, URL patterns, mentions and settings."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = (r for a, p, t in zip(pdf["app"], pdf["path"], pdf["text"], strict=True) for r in _rows(a, p, t or ""))
-            while part := list(islice(rows, FACTS_AT_ONCE)):
-                yield pd.DataFrame(part, columns=["app", "path", "kind", "name", "line_start", "line_end", "detail"])
-
-    return dealt(files.select("app", "path", "text"), "app", "path").mapInPandas(run, _SCHEMA)
+    return parsed(files, _rows, _SCHEMA)
 
 
 def _d(k: str) -> Column:
@@ -126,14 +117,14 @@ def url_paths(seen: DataFrame) -> DataFrame:
     parts = F.split("module", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     named = url.select("app", "module").distinct().select("app", "module", F.explode(endings).alias("include"))
-    includes = url.where("include <> ''").select("app", F.col("module").alias("by"), "pattern", "include").join(named, ["app", "include"]).where("by <> module").select("app", "by", "pattern", "module").distinct()
+    includes = url.where("include <> ''").select("app", F.col("module").alias("by"), "pattern", "include").join(apart(named), ["app", "include"]).where("by <> module").select("app", "by", "pattern", "module").distinct()
     includes = settled(includes)
-    found = new = settled(url.select("app", "module").distinct().join(includes.select("app", "module"), ["app", "module"], "left_anti").withColumn("prefix", F.lit("")))
+    found = new = settled(url.select("app", "module").distinct().join(apart(includes.select("app", "module")), ["app", "module"], "left_anti").withColumn("prefix", F.lit("")))
     while not new.isEmpty():
-        step = includes.join(new.select("app", F.col("module").alias("by"), "prefix"), ["app", "by"]).select("app", "module", F.concat("prefix", "pattern").alias("prefix"))
-        new = settled(step.join(found, ["app", "module"], "left_anti").distinct())
+        step = includes.join(apart(new.select("app", F.col("module").alias("by"), "prefix")), ["app", "by"]).select("app", "module", F.concat("prefix", "pattern").alias("prefix"))
+        new = settled(step.join(apart(found), ["app", "module"], "left_anti").distinct())
         found = found.unionByName(new)
-    x = url.where("include = '' and name <> ''").join(found, ["app", "module"], "left")
+    x = url.where("include = '' and name <> ''").join(apart(found), ["app", "module"], "left")
     return x.groupBy("app", F.col("name").alias("view")).agg(F.min(F.concat(F.lit("/"), F.coalesce("prefix", F.lit("")), "pattern")).alias("url"))
 
 
@@ -147,21 +138,22 @@ def permissions(seen: DataFrame, inherited: bool = True) -> DataFrame:
         return stated
     # the first definition of a name stands for it
     first = Window.partitionBy("app", "name").orderBy("path", "line_start")
-    classes = settled(v.join(seen.where("kind = 'class'").select(*own), own, "left_semi").withColumn("_k", F.row_number().over(first)).where("_k = 1").select("app", F.col("name").alias("base"), F.col("states").alias("base_states"), F.col("permissions").alias("base_permissions"), F.col("bases").alias("base_bases")))
+    classes = settled(v.join(apart(seen.where("kind = 'class'").select(*own)), own, "left_semi").withColumn("_k", F.row_number().over(first)).where("_k = 1").select("app", F.col("name").alias("base"), F.col("states").alias("base_states"), F.col("permissions").alias("base_permissions"), F.col("bases").alias("base_bases")))
     open_ = v.where("not states").select(*own, "bases")
     for distance in range(1, MOST_BASES + 1):
-        open_ = settled(open_.select(*own, F.posexplode("bases").alias("at", "base")).join(classes, ["app", "base"]))
+        open_ = settled(open_.select(*own, F.posexplode("bases").alias("at", "base")).join(apart(classes), ["app", "base"]))
         if open_.isEmpty():
             break
         hit = open_.where("base_states").groupBy(*own).agg(F.min_by("base_permissions", F.struct("at", "base")).alias("permissions")).withColumn("distance", F.lit(distance))
         hit = settled(hit)
         stated = stated.unionByName(hit)
-        open_ = open_.join(hit, own, "left_anti").groupBy(*own).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "base_bases"))), lambda x: x["base_bases"])).alias("bases"))
+        open_ = open_.join(apart(hit), own, "left_anti").groupBy(*own).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "base_bases"))), lambda x: x["base_bases"])).alias("bases"))
     return stated
 
 
-def views(known: DataFrame, seen: DataFrame, inherited: bool = True) -> DataFrame:
-    """Routed views with the columns of `code.routes`; known are the facts of `code.facts`, seen those of view_facts over the same files.
+def views(known: DataFrame, seen: DataFrame, inherited: bool = True, owned: DataFrame | None = None) -> DataFrame:
+    """Routed views with the columns of `code.routes`; known are the facts of `code.facts`, seen those of view_facts over the same files;
+    owned (`code.owned_models`) may be given where it is known.
 
     A view is a top function whose first parameter is `request`, or a top class with a view's base, named in a URL file where the
     application has one. Sign-in counts from decorators, bases, permission classes, the body, called helpers and the project's default, which AllowAny lifts.
@@ -171,29 +163,29 @@ def views(known: DataFrame, seen: DataFrame, inherited: bool = True) -> DataFram
     some = mentioned.select("app").distinct().withColumn("has_urls", F.lit(True))
     v = seen.where("kind in ('class', 'function')").where((_d("uses") == "1") & (_d("top") == "1") & ~F.col("path").rlike(V.NO_VIEW_FILE))
     shaped = F.when(F.col("kind") == "function", (_d("takes_request") == "1") & ~F.col("name").startswith("_")).otherwise(F.exists(_list("bases"), lambda b: b.rlike(V.VIEW_BASE)) & ~F.col("name").endswith("Mixin"))
-    v = v.where(shaped).join(mentioned.withColumn("routed", F.lit(True)), ["app", "name"], "left").join(some, "app", "left").where("routed or has_urls is null").drop("routed", "has_urls")
+    v = v.where(shaped).join(apart(mentioned.withColumn("routed", F.lit(True))), ["app", "name"], "left").join(apart(some), "app", "left").where("routed or has_urls is null").drop("routed", "has_urls")
 
     text = F.col("text")
     scheme = F.regexp_extract("text", r"(DEFAULT_PERMISSION_CLASSES[^\])]*)", 1)
     closed = (scheme.contains("IsAuthenticated") & ~scheme.contains("AllowAny")) | text.contains("LoginRequiredMiddleware")
     default = seen.where("kind = 'settings'").select("app", _d("text").alias("text")).groupBy("app").agg(F.max(closed).alias("closed"))
-    columns = owner_columns_of(known)
+    columns = owner_columns_of(known, owned)
     first = seen.where("kind = 'class'").groupBy("app", "name").agg(F.min_by(_d("body"), F.struct("path", "line_start")).alias("class_body"))
     own_rank = enforces(F.col("class_body"), F.col("owner_columns"))
     asked = permissions(seen, inherited).select(*key, F.explode("permissions").alias("permission"))
-    judged = asked.join(first.withColumnRenamed("name", "permission"), ["app", "permission"], "left").join(columns, "app", "left")
+    judged = asked.join(apart(first.withColumnRenamed("name", "permission")), ["app", "permission"], "left").join(apart(columns), "app", "left")
     role, login = F.col("permission").rlike(V.VIEW_ROLE), F.col("permission").rlike(V.VIEW_LOGIN)
     rank = F.when(F.col("class_body").isNotNull(), F.when(own_rank == 3, 3).when((own_rank == 2) | role, 2).otherwise(1)).when(role, 2).when(login, 1).otherwise(0)
     judged = judged.groupBy(*key).agg(F.max(F.when(rank == 3, 1).otherwise(rank)).alias("by_permission"), F.max(rank == 3).alias("owner_class"), F.max(F.col("permission") == "AllowAny").alias("public"), F.array_join(F.array_sort(F.collect_set("permission")), " ").alias("asked"))
 
     called_ = v.select(*key, F.explode(_list("calls")).alias("helper"))
-    strong = helper_strength(known).where("rank > 0").withColumnRenamed("name", "helper")
-    helpers = called_.join(strong, ["app", "helper"]).groupBy(*key).agg(F.collect_set("rank").alias("kinds"))
+    strong = helper_strength(known, columns=columns).where("rank > 0").withColumnRenamed("name", "helper")
+    helpers = called_.join(apart(strong), ["app", "helper"]).groupBy(*key).agg(F.collect_set("rank").alias("kinds"))
     bodies = known.where("kind = 'function' and detail['method'] = '0'").groupBy("app", F.col("name").alias("helper")).agg(F.min_by(_d("body"), F.struct("path", "line_start")).alias("helper_body"))
-    texts = called_.join(bodies, ["app", "helper"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("helper_body")), "\n").alias("helper_text"))
+    texts = called_.join(apart(bodies), ["app", "helper"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("helper_body")), "\n").alias("helper_text"))
 
-    x = v.join(default, "app", "left").join(columns, "app", "left").join(judged, key, "left").join(helpers, key, "left").join(texts, key, "left")
-    x = x.join(url_paths(seen).withColumnRenamed("view", "name"), ["app", "name"], "left")
+    x = v.join(apart(default), "app", "left").join(apart(columns), "app", "left").join(apart(judged), key, "left").join(apart(helpers), key, "left").join(apart(texts), key, "left")
+    x = x.join(apart(url_paths(seen).withColumnRenamed("view", "name")), ["app", "name"], "left")
     x = x.withColumns({"body": _d("body"), "bases": _list("bases"), "methods": _list("methods"), "_kinds": F.coalesce("kinds", F.array().cast("array<int>"))})
     body, is_class = F.col("body"), F.col("kind") == "class"
     guards = F.concat(_list("guards"), F.col("bases"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators import values as V
-from marlstone.sources.work import settled
+from marlstone.sources.work import apart, settled
 
 REQUEST = "@request"
 
@@ -213,8 +213,8 @@ def fed_functions(known: DataFrame) -> DataFrame:
     hops = 0
     while not new.isEmpty():
         hops += 1
-        step = links.join(new.select("app", F.col("function").alias("caller")), ["app", "caller"]).select("app", "function").distinct()
-        new = settled(step.join(found, ["app", "function"], "left_anti").withColumn("hops", F.lit(hops)))
+        step = links.join(apart(new.select("app", F.col("function").alias("caller"))), ["app", "caller"]).select("app", "function").distinct()
+        new = settled(step.join(apart(found), ["app", "function"], "left_anti").withColumn("hops", F.lit(hops)))
         found = found.unionByName(new)
     return found
 
@@ -224,4 +224,4 @@ def guard_functions(known: DataFrame) -> DataFrame:
     touching = known.where(F.col("kind").eqNullSafe("call") & F.col("name").isin(V.READS_OR_WRITES)).select("app", "path", _d("func_start").alias("def_line")).distinct()
     body = _d("body")
     checks = known.where((F.col("kind") == "function") & body.rlike(V.STRONG_PATH) & body.rlike(r"\b(?:return|raise)\b"))
-    return checks.select("app", "path", "name", _d("def_line").alias("def_line")).join(touching, ["app", "path", "def_line"], "left_anti").select("app", "name").distinct()
+    return checks.select("app", "path", "name", _d("def_line").alias("def_line")).join(apart(touching), ["app", "path", "def_line"], "left_anti").select("app", "name").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marlstone.functions.text import TAGS, UNSEEN
 from marlstone.operators.ordered import numbered
+from marlstone.sources.work import apart
 
 # How many windows a run may look at, lines of a function that is shown on request, and requests for them.
 MAX_WINDOWS = 80
@@ -95,11 +96,11 @@ def seeds(idor: DataFrame, unsigned: DataFrame, files: DataFrame, handlers: Data
         unsigned.select(*place, F.lit(2).alias("priority"), F.lit(None).cast("string").alias("model"), title("Missing authentication on "))
     )
     k = F.row_number().over(Window.partitionBy(*place).orderBy("priority", "title"))
-    x = both.withColumn("_k", k).where("_k = 1").join(handlers.select(*place, "line_end").dropDuplicates(place), place)
+    x = both.withColumn("_k", k).where("_k = 1").join(apart(handlers.select(*place, "line_end").dropDuplicates(place)), place)
     body = F.slice(F.split("text", "\n", -1), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1)
     word = F.concat(F.lit(r"\b"), "model", F.lit(r"\b"))
     first = F.array_position(F.transform(body, lambda s: F.coalesce(F.rlike(s, word), F.lit(False))), True)
-    x = x.join(files.select("app", "path", "text"), ["app", "path"], "left")
+    x = x.join(apart(files.select("app", "path", "text")), ["app", "path"], "left")
     line = F.when(first > 0, F.col("line_start") + first - 1).otherwise(F.col("line_start"))
     return x.select("app", "path", line.cast("int").alias("line"), "line_start", "line_end", "title", F.lit("authorization_idor").alias("family"))
 
@@ -174,14 +175,14 @@ def idioms(handlers: DataFrame, reached: DataFrame, helpers: DataFrame, most_hel
     """
     key = ["app", "path", "function", "line_start"]
     loads = reached.select(*key).distinct().withColumn("_loads", F.lit(True))
-    x = handlers.join(loads, key, "left").withColumn("_with_id", (F.size("id_params") > 0) & F.col("_loads").isNotNull())
+    x = handlers.join(apart(loads), key, "left").withColumn("_with_id", (F.size("id_params") > 0) & F.col("_loads").isNotNull())
     k = F.row_number().over(Window.partitionBy("app", "owner_check").orderBy("path", "line_start"))
     x = x.withColumn("_k", k)
     example = F.when(F.col("owner_check") & (F.col("_k") <= most_examples), F.struct("_k", F.format_string("%s (%s:%d)", "function", "path", "line_start").alias("t")))
     out = x.groupBy("app").agg(F.count(F.lit(1)).alias("handlers"), F.count_if("_with_id").alias("with_id"), F.count_if("owner_check").alias("scoped"), F.transform(F.array_sort(F.collect_list(example)), lambda e: e["t"]).alias("examples"))
     named = helpers.where("rank = 3").select("app", "name").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("app").orderBy("name"))).where(F.col("_n") <= most_helpers)
     named = named.groupBy("app").agg(F.array_sort(F.collect_list("name")).alias("helpers"))
-    return out.join(named, "app", "left").withColumn("helpers", F.coalesce("helpers", F.array().cast("array<string>")))
+    return out.join(apart(named), "app", "left").withColumn("helpers", F.coalesce("helpers", F.array().cast("array<string>")))
 
 
 def assembled(kept: DataFrame, shown: DataFrame, cwe: dict[str, str]) -> DataFrame:

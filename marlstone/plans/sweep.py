@@ -12,6 +12,7 @@ from marlstone.plans import query
 from marlstone.plans.code import _SHOPS, _known, applications
 from marlstone.plans.text import SQL_LINES
 from marlstone.sources.tables import is_source, lines, read_windows, table
+from marlstone.sources.work import settled
 
 
 @query(
@@ -133,8 +134,9 @@ def top_helpers(spark: SparkSession, d: str) -> DataFrame:
 )
 def authz_seeds(spark: SparkSession, d: str) -> DataFrame:
     known = _known(spark, d)
-    handlers = C.routes(known)
-    used = C.accesses(handlers, C.owned_models(known))
+    owned = settled(C.owned_models(known))
+    handlers = C.routes(known, owned)
+    used = C.accesses(handlers, owned)
     return W.seeds(C.idor_candidates(known, handlers, used), C.missing_auth(known, handlers, used=used), applications(spark, d), handlers)
 
 
@@ -144,8 +146,9 @@ def authz_seeds(spark: SparkSession, d: str) -> DataFrame:
 )
 def project_idioms(spark: SparkSession, d: str) -> DataFrame:
     known = _known(spark, d)
-    handlers = C.routes(known)
-    x = W.idioms(handlers, C.accesses(handlers, C.owned_models(known)), C.helper_strength(known))
+    owned = settled(C.owned_models(known))
+    handlers = C.routes(known, owned)
+    x = W.idioms(handlers, C.accesses(handlers, owned), C.helper_strength(known, columns=C.owner_columns_of(known, owned)))
     return x.withColumn("helpers", F.array_join("helpers", ", ")).withColumn("examples", F.array_join("examples", ", "))
 
 

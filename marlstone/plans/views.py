@@ -84,7 +84,8 @@ def django_views(spark: SparkSession, d: str) -> DataFrame:
 def django_candidates(spark: SparkSession, d: str) -> DataFrame:
     files = gardens(spark, d)
     known = settled(C.facts(files))
-    found = C.idor_candidates(known, J.views(known, settled(J.view_facts(files))))
+    owned = settled(C.owned_models(known))
+    found = C.idor_candidates(known, J.views(known, settled(J.view_facts(files)), owned=owned), owned=owned)
     return found.select("app", "function", "model", "auth", "siblings", "priority")
 
 

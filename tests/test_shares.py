@@ -20,6 +20,40 @@ def test_like_rows_are_not_taken_for_few(spark):
     assert x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 30_000_000
 
 
+def test_files_that_applications_share_are_parsed_once_a_task(spark, tmp_path):
+    """A file's rows do not depend on its application; each application has them all."""
+    log = str(tmp_path / "parsed")
+
+    def parse(app, path, text):
+        with open(log, "a") as f:
+            f.write(f"{path}\n")
+        yield from ((app, path, n) for n in range(len(text)))
+
+    files = spark.range(3000).select(F.concat(F.lit("a"), "id").alias("app"), F.when(F.col("id") % 3 == 0, "x.py").otherwise("y.py").alias("path"), F.when(F.col("id") % 2 == 0, "ab").when(F.col("id") % 5 != 0, "abcd").alias("text"))
+    got = C.parsed(files, parse, "app string, path string, n int")
+    want = files.select("app", "path", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("n"))
+    x = got.collect()
+    assert sorted(map(tuple, x)) == sorted(map(tuple, want.collect()))
+    assert len(open(log).readlines()) <= 6 * got.rdd.getNumPartitions()
+
+
+def test_long_files_are_parsed_in_parts_and_not_kept(spark):
+    n = C.FACTS_AT_ONCE + 100
+    files = spark.createDataFrame([(a, "x.py", "def f():\n    g()\n" * n) for a in ("p", "q")], "app string, path string, text string")
+    assert {(r.app, r.kind): r["count"] for r in C.facts(files).where("kind in ('function', 'call')").groupBy("app", "kind").count().collect()} == {(a, k): n for a in ("p", "q") for k in ("function", "call")}
+
+
+def test_joins_over_code_facts_broadcast_nothing(spark):
+    """Both sides grow with the applications, and the driver builds what is broadcast."""
+    import __spark_entry__ as E
+
+    for name in ("missing_auth", "symbol_lookup"):
+        x = E.queries()[name](spark, "/root/testdata/sf0.001")
+        x.collect()
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "Join" in plan, name
+
+
 def test_parts_are_dealt_out_and_their_source_is_read_once(spark):
     import __spark_entry__ as E
 
