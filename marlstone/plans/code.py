@@ -194,8 +194,10 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
 def bm25_porter(spark: SparkSession, d: str) -> DataFrame:
     """Weighted BM25 over stemmed, accent-free terms; the stemmer runs in Arrow batches."""
     pieces = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"([\p{L}\p{N}]+)"))
-    docs = table(spark, d, "documents").select("doc_id", stems(pieces("text")).alias("body"), stems(pieces("source")).alias("head"))
-    tokens = docs.select("doc_id", F.concat(F.transform("body", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))), F.transform("head", lambda t: F.struct(t.alias("term"), F.lit(4.0).alias("w")))).alias("ts"))
+    # each piece is a term, so lengths need no stems
+    length = (F.size(pieces("text")) + F.size(pieces("source"))).alias("length")
+    docs = table(spark, d, "documents").select("doc_id", stems(pieces("text")).alias("body"), stems(pieces("source")).alias("head"), length)
+    tokens = docs.select("doc_id", "length", F.concat(F.transform("body", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))), F.transform("head", lambda t: F.struct(t.alias("term"), F.lit(4.0).alias("w")))).alias("ts"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(stems(pieces("text"))).alias("terms"))
     return bm25_tokens(tokens, "doc_id", queries, 5).withColumn("score", F.round("score", 6))
 

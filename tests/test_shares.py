@@ -60,3 +60,15 @@ def test_parts_are_dealt_out_and_their_source_is_read_once(spark):
     x = E.queries()["code_line_numbers"](spark, "/root/testdata/sf0.001")
     assert x.rdd.getNumPartitions() > 1
     assert str(x._jdf.queryExecution().optimizedPlan()).count("source_marks(") == 1
+
+
+def test_lengths_of_a_stemmed_search_need_no_stems(spark):
+    import __spark_entry__ as E
+
+    x = E.queries()["bm25_porter"](spark, "/root/testdata/sf0.001")
+    plan = str(x._jdf.queryExecution().optimizedPlan())
+    lengths = [line for line in plan.splitlines() if "avg(length" in line]
+    assert lengths
+    for line in lengths:
+        below = plan[plan.index(line) + len(line):].split("Relation", 1)[0]
+        assert "stems(" not in below
