@@ -14,10 +14,15 @@ go in bands, and a set stands in its own band and, where a partner may be larger
 D parts or fewer stand under each of their shingles besides. Cells of one document go, and of cells with equal members one stays.
 
 A cell's points are packed into leaves of LEAF in the order of a range sort (size, then coordinates). Links
-are sought in three steps, so that a group of copies never becomes all its pairs: in a leaf, each point with its best
+are sought in steps, so that a group of copies never becomes all its pairs: in a leaf, each point with its best
 earlier one; then, in cells that still hold several components, each point outside the commonest component with its best
 partner in another; then all pairs across components that the bound allows. The last step leaves nothing out.
 
+Alike sets share most of their cells, so cells are met only once. What they show besides the best partners is which points
+may link across components at all, as a few links that span them: those of a linked group are one more tree, with FINE coordinates. A pair
+stands in one group, so the steps that follow make it once and not in each of its cells. None is lost: components
+only grow, so a pair across them stood across them, and was allowed, when its cell was met.
+
 Defined results: a null or empty text has no shingles and links with nothing; a row whose id is null is
 returned with a null component; rows with the same id count as one document for links and each yields a
 row; extra columns are ignored; an empty table gives an empty result. Sets are sets of 64-bit hashes, classes have
@@ -42,6 +47,8 @@ from marlstone.llm.components import components
 K_WORDS = 4
 #: Coordinates of a point.
 GROUPS = 128
+#: Coordinates of the points that may still link when the cells have been met: counts of long texts are told apart by more groups only.
+FINE = 1024
 #: The largest count that a coordinate holds.
 MOST = 65535
 #: Points of a leaf.
@@ -101,9 +108,9 @@ def cells(shingles: np.ndarray, band: int, differ: int, parts: int) -> np.ndarra
     return keys if len(keys) > differ else np.concatenate((keys, T.mix(shingles ^ np.uint64(_number(~band)))))
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
+def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Counts by group, in two bytes each; what exceeds them is known from the set's size."""
-    counts = np.bincount((T.mix(shingles + _STEP) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((T.mix(shingles + _STEP) % np.uint64(groups)).astype(np.int64), minlength=groups)
     return np.minimum(counts, MOST).astype(np.uint16)
 
 
@@ -149,13 +156,23 @@ def _cell_rows(percent: int):
     return run
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_POINT = "doc_id long, n long, point binary"
+
+
+def _points(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, sets in _sets(batch.column(1)):
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s, groups).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], ["doc_id", "n", "point"])
+
+    return run
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, sets in _sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), _lists(sets)],
-                ["doc_id", "n", "point", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(sets)], ["doc_id", "shingles"])
 
 
 class Members:
@@ -167,7 +184,8 @@ class Members:
         number = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
         self.ids, self.sizes = number("doc_id"), number("n")
         self.own = None if flat.field("component").null_count else number("component")
-        self.points = T.buffers(flat.field("point"))[0].view(np.uint16).reshape(len(flat), GROUPS)
+        counts = T.buffers(flat.field("point"))[0].view(np.uint16)
+        self.points = counts.reshape(len(flat), len(counts) // max(1, len(flat)))
         self.excess = self.sizes - self.points.sum(axis=1, dtype=np.int64)
 
 
@@ -203,18 +221,37 @@ def _best_earlier(percent: int):
     return run
 
 
-def _across(percent: int, every: bool):
-    """Of two leaves: pairs in different components, all or the best of each point."""
+class Spans:
+    """Links that span what is touched: of so many points, as few pairs as connect them like all pairs told."""
+
+    def __init__(self, points: int):
+        self.root = np.arange(points)
+
+    def join(self, k: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """The pairs of points that connect point k to others for the first time."""
+        roots = np.unique(self.root[np.append(others, k)])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+        return [(int(roots[0]), int(r)) for r in roots[1:]]
+
+
+def _across(percent: int, every: bool, spans: bool):
+    """Of two leaves: pairs in different components, all or the best of each point; with spans, pairs without a share that connect all points of any pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, out = Members(batch.column("members")), Members(batch.column("more")), ([], [], [])
             for i in range(batch.num_rows):
-                a, b = int(y.first[i]), int(y.first[i + 1])
-                for k in range(int(x.first[i]), int(x.first[i + 1])):
+                (at, end), (a, b) = x.first[i : i + 2].tolist(), y.first[i : i + 2].tolist()
+                ids, touched = np.concatenate((x.ids[at:end], y.ids[a:b])), Spans(end - at + b - a)
+                for k in range(at, end):
                     allowed, share = _bounds(x, k, y, a, b, percent)
                     allowed &= y.own[a:b] != x.own[k]
                     hits = np.flatnonzero(allowed)
+                    if spans and len(hits):
+                        for p, q in touched.join(k - at, hits + (end - at)):
+                            for column, v in zip(out, (ids[p], ids[q], None), strict=True):
+                                column.append(v)
                     if not every and len(hits):
                         hits = hits[[int(np.argmax(share[hits]))]]
                     out[0].extend([x.ids[k]] * len(hits))
@@ -257,7 +294,7 @@ def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(x.first[:-1], x.first[1:], strict=True):
             tops.append(x.points[a:b].max(axis=0).astype(np.int32))
             tops[-1][0] += x.excess[a:b].max()  # a bound still, as the excess of both nodes counts there
-        offsets = pa.array(np.arange(len(tops) + 1, dtype=np.int32) * GROUPS)
+        offsets = pa.array(np.arange(len(tops) + 1, dtype=np.int32) * x.points.shape[1])
         top = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*tops, np.zeros(0, np.int32)]).astype(np.int32)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "main", "leaf", "least")), top, members], ["cell", "main", "leaf", "least", "top", "members"])
 
@@ -287,8 +324,17 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
     work.drop(rows, chosen)
 
     ids = live.select("doc_id").distinct()
-    points = work.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_points, "doc_id long, n long, point binary, shingles array<long>"))
-    sets, points = points.select("doc_id", "shingles"), points.select("doc_id", "n", "point")
+    points = work.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_points(GROUPS), _POINT))
+    sets = None
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Looked at on full sets, which are made for documents that stand in a pair."""
+        nonlocal sets
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = work.save(ids if sets is None else ids.join(sets.select("doc_id"), "doc_id", "left_anti"))
+        more = work.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles array<long>"))
+        sets = more if sets is None else sets.unionByName(more)
+        return work.save(_confirmed(pairs, sets, percent))
 
     # each set in its largest cell only: enough to connect nearly all that is alike
     first = live.groupBy("doc_id").agg(F.max_by("cell", F.struct("size", "cell")).alias("cell")).withColumn("main", F.lit(True)).withColumn("component", F.lit(None).cast("long"))
@@ -299,10 +345,10 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
     best = leaves.select("members").mapInArrow(_best_earlier(percent), "a long, b long, share double")
     tried = work.save(_ordered(best.select("a", "b").unionByName(stars)))
     work.drop(leaves)
-    links = work.save(_confirmed(tried, sets, percent))
+    links = confirmed(tried)
     found = components(links, work)
 
-    for every in (False, False, True):
+    for spans, every in ((True, False), (False, False), (False, True)):
         labelled = work.save(live.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component")))
         share = labelled.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cell")
         mixed = work.save(share.agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("cell", "most"))
@@ -316,13 +362,20 @@ def similar(spark: SparkSession, docs: DataFrame, percent: int = 85, leaf: int =
         one = leaves.where("NOT main").select("cell", "leaf", "members")
         two = leaves.select("cell", F.col("main").alias("main2"), F.col("leaf").alias("leaf2"), F.col("members").alias("more"))
         both = met.join(one, ["cell", "leaf"]).join(two, ["cell", "main2", "leaf2"]).select("members", "more")
-        more = both.mapInArrow(_across(percent, every), "a long, b long, share double")
+        made = work.save(both.mapInArrow(_across(percent, every, spans), "a long, b long, share double"))
+        work.drop(labelled, mixed, leaves)
+        more = made.where("share is not null")
         if not every:
             more = more.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
         more = work.save(_ordered(more).join(tried, ["a", "b"], "left_anti"))
-        links = work.save(links.unionByName(_confirmed(more, sets, percent)))
+        links = work.save(links.unionByName(confirmed(more)))
         tried = tried.unionByName(more)
-        work.drop(labelled, mixed, leaves)
+        if spans:
+            group = components(made.where("share is null").select("a", "b"), work)
+            least = group.select(F.col("component").alias("cell"), F.col("component").alias("doc_id")).distinct()
+            live = work.save(group.select(F.col("component").alias("cell"), F.col("id").alias("doc_id")).unionByName(least))
+            points = work.save(docs.join(live.select("doc_id"), "doc_id", "left_semi").mapInArrow(_points(FINE), _POINT))
+        work.drop(made)
         found = components(links, work)
 
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
