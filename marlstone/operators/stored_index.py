@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.search import FLOOR, K1, NORM, best, tokens
-from marlstone.sources.work import dealt
+from marlstone.sources.work import dealt, gathered
 
 BUCKETS = 64
 CHUNK_DOCS = 128
@@ -133,8 +133,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, allowed:
     # a chunk's blocks are dealt out as they are: its documents are scored for all queries where they are, and a part passes on its best alone
     live = live.groupBy("segment", "chunk").agg(F.collect_set(F.struct("query_id")).alias("live"))
     terms = asked.groupBy("term", "idf", "mean").agg(F.collect_set(F.struct("query_id")).alias("asked"))
-    x = blocks.join(F.broadcast(terms), "term").join(live, ["segment", "chunk"]).withColumn("asked", F.array_intersect("asked", "live")).where(F.size("asked") > 0)
-    found = _postings(dealt(x, "segment", "chunk") if allowed is None else x, allowed, "term", "idf", "mean", "asked")
-    shares = found.select("key", "term", _share(F.col("tf"), F.col("length")).alias("share"), "asked")
-    shares = shares if allowed is None else dealt(shares, "key")
+    x = blocks.join(F.broadcast(terms), "term")
+    if allowed is None:
+        # dealt out before the join, and the other side never broadcast: Spark leaves an exchange after the join out, and may then part a chunk's blocks
+        x, live = dealt(x, "segment", "chunk"), live.hint("shuffle_hash")
+    x = x.join(live, ["segment", "chunk"]).withColumn("asked", F.array_intersect("asked", "live")).where(F.size("asked") > 0)
+    shares = _postings(x, allowed, "term", "idf", "mean", "asked").select("key", "term", _share(F.col("tf"), F.col("length")).alias("share"), "asked")
+    shares = shares if allowed is None else gathered(shares, "key", fixed=True)
     return best(shares.sortWithinPartitions("key", "term"), "key", k)
